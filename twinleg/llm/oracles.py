@@ -29,8 +29,8 @@ FROM g JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY 1) c ON g.doc_
 
 _VECTORS = r"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 e AS (SELECT a.vec_id AS p, b.vec_id AS q FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
 reach AS (SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT reach.d, e.q FROM reach JOIN e ON reach.r = e.p),
 c AS (SELECT d, min(r) AS component_id FROM reach GROUP BY 1),
