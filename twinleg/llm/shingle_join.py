@@ -3,10 +3,11 @@
 A document is the set of its hashed word shingles.  Under any global order of the shingles, two sets with Jaccard similarity of
 at least t share one of their first ``n - ceil(t * n) + 1`` shingles.  Every order here puts shingles that many documents hold
 last, in classes of their frequency, and breaks ties by a hash of its own.  The first order's prefixes are joined; a candidate
-must also share prefix shingles under every other order before its sets are fetched and verified exactly.
+must also share prefix shingles under every other order, and the parity masks of the sets must allow the similarity, before the
+texts are fetched and the sets verified exactly.
 
-Equal sets are one node.  In a block (the nodes with one prefix shingle) first every node is paired with the block's smallest
-and largest node only, which is linear; then, where a block still spans several components, pairs across its components are
+Equal sets are one node.  In a block (the nodes with one prefix shingle) two nodes are hubs, others in each round.  First, in a
+few rounds, every node is paired with the hub of another component that it meets most often, which is linear; then, where a block still spans several components, pairs across its components are
 candidates.  Pairs within a component need no check, so a group of copies is never expanded into all its pairs.
 """
 
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 from .bpe import mixed, powers
 from .common import connected_components, small, written
 
-#: Orders, largest size of the table of frequent shingles, and documents that make a shingle frequent at first.
-ORDERS, FREQUENT_ROWS, FREQUENT = 3, 400_000, 16
+#: Orders, largest size of the table of frequent shingles, and documents that make a shingle frequent at first,
+#: and rounds of hubs.
+ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS = 3, 400_000, 16, 2
 CHUNK = 1 << 21
+#: Names of the parts of a set's parity mask: 512 bits, each flipped by the shingles that fall on it.
+PARITY = [f"k{i}" for i in range(8)]
 GOLD = 0x9E3779B97F4A7C15
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLD))
@@ -132,6 +136,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, token: np.ndarray, ra
     def run(batches):
         for ids, sets in _sets(batches, n):
             cols = [[] for _ in names]
+            odd = np.stack([np.packbits(np.bincount((mixed(s) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64) for s in sets])
             for s in sets:
                 kind = np.zeros(len(s), np.int64)
                 if len(token) and len(s):
@@ -139,12 +144,19 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, token: np.ndarray, ra
                     kind = np.where(token[spot] == s, rank[spot], 0)
                 p = prefix_size(len(s), num, den)
                 for k, col in enumerate(cols):
-                    h = mixed(s ^ np.uint64((k + 1) * GOLD & (1 << 64) - 1)) >> np.uint64(8)
-                    order = np.argsort(h | kind.astype(np.uint64) << np.uint64(57))[:p]
+                    h = mixed(s ^ np.uint64((k + 1) * GOLD & (1 << 64) - 1)) >> np.uint64(8)  # 56 bits
+                    order = np.argsort(h | np.minimum(kind, 15).astype(np.uint64) << np.uint64(57))[:p]
                     col.append((h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in cols)], names=["doc_id", "n", "sig", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in cols), *(pa.array(odd[:, k]) for k in range(8))], names=["doc_id", "n", "sig", *names, *PARITY])
 
-    return docs.mapInArrow(run, f"doc_id long, n long, sig long, {', '.join(f'{p} array<int>' for p in names)}")
+    return docs.mapInArrow(run, f"doc_id long, n long, sig long, {', '.join([f'{p} array<int>' for p in names] + [f'{k} long' for k in PARITY])}")
+
+
+def _close(a: str, b: str, n: str, m: str, num: int, den: int) -> str:
+    """Whether sizes and parity masks leave room for the similarity: bits that differ are at most the shingles that differ,
+    and these may be (n + m)(1 - t) / (1 + t)."""
+    bits = " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in PARITY)
+    return f"least({n}, {m}) * {den} >= greatest({n}, {m}) * {num} and ({bits}) * {den + num} <= ({n} + {m}) * {den - num}"
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -153,26 +165,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num:
     pairs = written(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
     ends = written(ends, "ends")
-    held = written(nodes.join(small(ends), "sig", "left_semi").select("sig", "doc_id", *others), "held")
+    held = written(nodes.join(small(ends), "sig", "left_semi").select("sig", "doc_id", "n", *others, *PARITY), "held")
     for end in "ab":
-        pairs = pairs.join(small(held.select(F.col("sig").alias(end), *(F.col(p).alias(p + end) for p in others)), 20_000), end)
+        pairs = pairs.join(small(held.select(F.col("sig").alias(end), F.col("n").alias("n" + end), *(F.col(p).alias(p + end) for p in others), *(F.col(k).alias(end + k) for k in PARITY)), 20_000), end)
+    pairs = pairs.where(_close("a", "b", "na", "nb", num, den))
     for p in others:
         pairs = pairs.where(F.arrays_overlap(p + "a", p + "b"))
     pairs = written(pairs.select("a", "b"), "pairs")
     # texts of the remaining nodes' documents: one for each node
     ends = written(pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct(), "ends")
     wanted = written(held.join(small(ends), "sig", "left_semi").select("sig", "doc_id"), "wanted")
-    texts = docs.join(small(wanted.select(F.col("doc_id"), F.col("sig").alias("node"))), "doc_id").select("node", "text")
+    texts = written(docs.join(small(wanted.select("doc_id", "sig")), "doc_id").groupBy("sig").agg(F.first("text").alias("text")), "texts")
 
     def run(batches):
-        for ids, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(ids, pa.int64()), "s": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+        for b in batches:
+            a_sets = (s for _, sets in _sets([b.select(["a", "ta"])], n) for s in sets)
+            b_sets = (s for _, sets in _sets([b.select(["b", "tb"])], n) for s in sets)
+            keep = []
+            for x, y in zip(a_sets, b_sets, strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = texts.mapInArrow(run, "sig long, s array<long>").groupBy("sig").agg(F.first("s").alias("s"))
-    sets = written(sets, "sets")
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
-    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(f"{den} * i >= {num} * (size(sa) + size(sb) - i)").select("a", "b")
+    both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def join_documents(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -193,24 +209,41 @@ def join_documents(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
     # one node for each different set, with its smallest document
     first = written(own.where("sig <> 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "first")
     nodes = written(prefixed.join(small(first), ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"]), "nodes")
-    posts = nodes.select("sig", "n", F.posexplode("p0").alias("pos", "token"))
-    blocks = posts.groupBy("token").agg(F.count("*").alias("size"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("size > 1")
-    posts = written(posts.join(blocks.hint("merge"), "token"), "posts")
+    # dealt by shingle once: the blocks' aggregation and join use the same exchange
+    posts = nodes.select("sig", "n", F.posexplode("p0").alias("pos", "token")).repartition("token")
+    blocks = posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
+    seen = written(posts.join(blocks.hint("shuffle_hash"), "token").withColumn("c", F.col("sig")), "posts")
     near = f"least(n, m) * {den} >= greatest(n, m) * {num}"
-    stars = posts.select("sig", "lo").where("sig <> lo").unionAll(posts.select("sig", F.col("hi")).where("sig <> hi and lo <> hi"))
-    stars = stars.select(F.least("sig", "lo").alias("a"), F.greatest("sig", "lo").alias("b")).distinct()
-    links = written(_verified(stars, nodes, docs, n, num, den), "links")
-    # blocks that still span several components: pairs across components, which the first common place and the sizes allow
-    label = connected_components(links)
-    seen = posts.join(small(written(label, "labels")), posts["sig"] == F.col("node"), "left").select("token", "sig", "n", "pos", F.coalesce("component", "sig").alias("c"))
-    seen = written(seen, "seen")
-    open_ = seen.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x < y and k > 2").select("token")
-    left = written(seen.join(small(written(open_, "open")), "token", "left_semi"), "left")
-    right = left.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("c").alias("d"))
-    across = left.withColumnRenamed("sig", "a").hint("merge").join(right, "token").where("a < b and c <> d").where(near)
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    tried, masks = links, nodes.select("sig", "n", *PARITY)
+    for turn in range(HUB_ROUNDS + 1):
+        # blocks that still span several components
+        open_ = written(seen.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), *(F.min_by(F.struct("sig", F.col("c").alias("d"), F.col("n").alias("m")), F.xxhash64("sig", F.lit(turn + 100 * k))).alias(f"hub{k}") for k in (0, 1))).where("x < y"), "open")
+        seen = seen.join(small(open_.select("token")), "token", "left_semi")
+        if turn == HUB_ROUNDS:
+            break
+        # of the hubs of other components that a node meets in its blocks, the one that it meets most often
+        hubs = seen.join(open_.select("token", F.explode(F.array("hub0", "hub1")).alias("hub")).hint("merge"), "token").select("sig", "c", "n", F.col("hub.sig").alias("hub"), F.col("hub.d").alias("d"), F.col("hub.m").alias("m"))
+        hubs = written(hubs.where("c <> d").where(near).groupBy("sig", "hub").agg(F.count("*").alias("k")), "hubs")
+        for end, name in (("a", "sig"), ("b", "hub")):
+            hubs = hubs.join(masks.select(F.col("sig").alias(name), F.col("n").alias("n" + end), *(F.col(k).alias(end + k) for k in PARITY)).hint("merge"), name)
+        stars = hubs.where(_close("a", "b", "na", "nb", num, den)).groupBy("sig").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+        stars = stars.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
+        stars = written(stars.join(tried.hint("merge"), ["a", "b"], "left_anti"), "stars")
+        tried = tried.unionAll(stars)
+        links = links.unionAll(written(_verified(stars, nodes, docs, n, num, den), "links"))
+        label = written(connected_components(links), "labels")
+        seen = seen.drop("c").join(small(label), F.col("sig") == F.col("node"), "left").select("token", "sig", "n", "pos", F.coalesce("component", "sig").alias("c"))
+        seen = written(seen, "seen")
+    # then pairs across the components of a block, which places, sizes and the second order allow
+    left = written(seen.join(nodes.select("sig", *PARITY).hint("merge"), "sig"), "left")
+    right = left.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("c").alias("d"), *(F.col(k).alias("b" + k) for k in PARITY))
     # shared shingles are at most those before this place in both, this one, and what is left behind it
-    across = across.where(f"{den + num} * (least(pos, pos2) + least(n - pos, m - pos2)) >= {num} * (n + m)").select("a", "b").distinct()
-    across = across.join(stars.hint("merge"), ["a", "b"], "left_anti")
+    room = f"{den + num} * (least(pos, pos2) + least(n - pos, m - pos2)) >= {num} * (n + m)"
+    test = F.expr(f"a < b and c <> d and {room} and {_close('a', 'b', 'n', 'm', num, den)}")
+    left = left.select("n", "pos", "c", F.col("sig").alias("a"), F.col("token").alias("own"), *(F.col(k).alias("a" + k) for k in PARITY))
+    across = left.hint("merge").join(right, (F.col("own") == F.col("token")) & test).select("a", "b").distinct()
+    across = across.join(tried.hint("merge"), ["a", "b"], "left_anti")
     links = links.unionAll(_verified(across, nodes, docs, n, num, den))
     found = written(connected_components(links), "found")
     # the smallest document of each component, over all documents of its nodes
