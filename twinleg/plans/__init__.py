@@ -1,9 +1,13 @@
 """Registered queries of the premium analytics, each with its oracle SQL."""
 
+from __future__ import annotations
+
+from .panel import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
