@@ -21,10 +21,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "markov"]
 
-#: A long token; the models' alphabet; added to every count; the least log-likelihood ratio (in nats) of a further span.
+#: A long token; the models' alphabet; added to every character's count; weight of these shares in
+#: the counts of what follows a character; the least log-likelihood ratio (in nats) of a further span.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/_=-."
-SMOOTH, LEAST = 0.5, 10.0
+SMOOTH, BACK, LEAST = 0.5, 10.0, 10.0
 
 
 def rule_spans(text: str) -> Column:
@@ -65,10 +66,14 @@ def train(labelled: DataFrame) -> list[float]:
     table = [[[0, 0] for _ in range(n)] for _ in range(n)]
     for row in counts.collect():  # at most one row for each pair of alphabet characters
         table[row["a"] - 1][row["b"] - 1] = [row["r"], row["o"]]
+    shares = []
+    for k in (0, 1):
+        column = [sum(line[j][k] for line in table) + SMOOTH for j in range(n)]
+        shares.append([x / sum(column) for x in column])
     out = []
     for line in table:
-        total = [sum(c[k] for c in line) + SMOOTH * n for k in (0, 1)]
-        out += [round(log((c[0] + SMOOTH) / total[0]) - log((c[1] + SMOOTH) / total[1]), 9) for c in line]
+        total = [sum(c[k] for c in line) + BACK for k in (0, 1)]
+        out += [round(log((c[0] + BACK * shares[0][j]) / total[0]) - log((c[1] + BACK * shares[1][j]) / total[1]), 9) for j, c in enumerate(line)]
     return out
 
 
