@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_PAIR = Window.partitionBy("pair_id").orderBy("date")
+
+def by_pair():
+    return Window.partitionBy("pair_id").orderBy("date")
 
 
 def join_legs(bars: DataFrame, fx: DataFrame, adr: str = "A", local: str = "N") -> DataFrame:
@@ -82,7 +84,7 @@ def variant_spread(panel: DataFrame) -> DataFrame:
 
 def decomposition(panel: DataFrame) -> DataFrame:
     """Per session: change of ln(1 + pi) and its parts from the receipt, FX and local share."""
-    d = lambda c: F.ln(c) - F.lag(F.ln(c)).over(BY_PAIR)
+    d = lambda c: F.ln(c) - F.lag(F.ln(c)).over(by_pair())
     out = panel.withColumn("gap", F.col("pi") + 1).select("pair_id", "date", d("gap").alias("dgap"), d("adr").alias("dadr"), d("fx").alias("dfx"), d("local").alias("dlocal"))
     return out.dropna(subset=["dgap"])
 
@@ -117,5 +119,5 @@ def calendar_cost(bars: DataFrame) -> DataFrame:
 
 def event_window(panel: DataFrame, day: str, before: int, after: int) -> DataFrame:
     """Sessions around each pair's first session at or after ``day``, numbered from it."""
-    numbered = panel.withColumn("rn", F.row_number().over(BY_PAIR)).withColumn("anchor", F.min(F.when(F.col("date") >= F.lit(day).cast("date"), F.col("rn"))).over(Window.partitionBy("pair_id")))
+    numbered = panel.withColumn("rn", F.row_number().over(by_pair())).withColumn("anchor", F.min(F.when(F.col("date") >= F.lit(day).cast("date"), F.col("rn"))).over(Window.partitionBy("pair_id")))
     return numbered.withColumn("offset", F.col("rn") - F.col("anchor")).where(f"offset between -{before} and {after}").select("pair_id", "date", "offset", "pi")

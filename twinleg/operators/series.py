@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_PAIR = Window.partitionBy("pair_id").orderBy("date")
+
+def by_pair():
+    return Window.partitionBy("pair_id").orderBy("date")
 
 
 def full_window(value: Column, n: int, least: int) -> Column:
     """``value`` where the trailing ``n`` rows hold at least ``least``, as a rolling minimum count asks."""
-    w = BY_PAIR.rowsBetween(-(n - 1), 0)
+    w = by_pair().rowsBetween(-(n - 1), 0)
     return F.when(F.count("*").over(w) >= least, value)
 
 
 def realised_volatility(panel: DataFrame, n: int, column: str = "adr") -> DataFrame:
     """Annualised deviation of daily log changes over the trailing ``n`` of them."""
-    changes = panel.withColumn("r", F.ln(column) - F.lag(F.ln(column)).over(BY_PAIR)).where("r is not null")
-    w = BY_PAIR.rowsBetween(-(n - 1), 0)
+    changes = panel.withColumn("r", F.ln(column) - F.lag(F.ln(column)).over(by_pair())).where("r is not null")
+    w = by_pair().rowsBetween(-(n - 1), 0)
     return changes.withColumn("vol", full_window(F.stddev_samp("r").over(w) * F.sqrt(F.lit(252.0)), n, n))
 
 
 def drawdown(panel: DataFrame, n: int, column: str = "pi") -> DataFrame:
-    w = BY_PAIR.rowsBetween(-(n - 1), 0)
+    w = by_pair().rowsBetween(-(n - 1), 0)
     return panel.withColumn("drawdown", full_window(F.col(column) - F.max(column).over(w), n, n))
 
 
 def trend(panel: DataFrame, k: int, column: str = "fx") -> DataFrame:
-    return panel.withColumn("trend", F.col(column) / F.lag(column, k).over(BY_PAIR) - 1)
+    return panel.withColumn("trend", F.col(column) / F.lag(column, k).over(by_pair()) - 1)
 
 
 def dollar_volume(panel: DataFrame, n: int = 20, least: int = 3) -> DataFrame:
-    w = BY_PAIR.rowsBetween(-(n - 1), 0)
+    w = by_pair().rowsBetween(-(n - 1), 0)
     return panel.withColumn("adv", full_window(F.avg(F.col("local") * F.col("volume") / F.col("fx")).over(w), n, least))
 
 
@@ -40,7 +42,7 @@ def trailing_rank(panel: DataFrame, n: int, least: int, column: str = "pi") -> D
 
     The window is bounded, so the collected array is; it is counted in place by a higher-order function.
     """
-    w = BY_PAIR.rowsBetween(-(n - 1), 0)
+    w = by_pair().rowsBetween(-(n - 1), 0)
     held = panel.withColumn("held", F.collect_list(column).over(w))
     rank = F.expr(f"(size(filter(held, v -> v <= {column})) - 1) / (size(held) - 1)")
     out = held.withColumn("rank", F.when(F.size("held") >= least, rank)).drop("held")
@@ -49,15 +51,15 @@ def trailing_rank(panel: DataFrame, n: int, least: int, column: str = "pi") -> D
 
 def forward(panel: DataFrame, h: int, column: str = "pi") -> DataFrame:
     """Value ``h`` sessions on, log change to it, and the largest value on the way; sessions without the full horizon drop."""
-    ahead = F.lead(column, h).over(BY_PAIR)
-    out = panel.withColumn("target", ahead).withColumn("log_change", F.log1p(ahead) - F.log1p(column)).withColumn("peak", F.max(column).over(BY_PAIR.rowsBetween(0, h)))
+    ahead = F.lead(column, h).over(by_pair())
+    out = panel.withColumn("target", ahead).withColumn("log_change", F.log1p(ahead) - F.log1p(column)).withColumn("peak", F.max(column).over(by_pair().rowsBetween(0, h)))
     return out.where("target is not null")
 
 
 def margin_path(panel: DataFrame, notional: float, column: str = "pi") -> DataFrame:
     """Cumulative loss of a short premium position from the first session, floored at zero, and the running margin call."""
-    step = F.coalesce(F.col(column) - F.lag(column).over(BY_PAIR), F.lit(0.0)) * notional
-    running = BY_PAIR.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.coalesce(F.col(column) - F.lag(column).over(by_pair()), F.lit(0.0)) * notional
+    running = by_pair().rowsBetween(Window.unboundedPreceding, 0)
     out = panel.withColumn("step", step).withColumn("loss", F.greatest(F.sum("step").over(running), F.lit(0.0)))
     return out.withColumn("peak_call", F.max("loss").over(running))
 
@@ -66,7 +68,7 @@ def walk_forward(panel: DataFrame, splits: int, embargo: int) -> DataFrame:
     """Expanding folds (pair_id, date, fold, role): test blocks follow a first training part of n // (splits + 1) sessions;
     the ``embargo`` sessions before a test block are neither."""
     w = Window.partitionBy("pair_id")
-    rows = panel.withColumn("rn", F.row_number().over(BY_PAIR) - 1).withColumn("n", F.count("*").over(w)).withColumn("least", F.expr(f"n div {splits + 1}"))
+    rows = panel.withColumn("rn", F.row_number().over(by_pair()) - 1).withColumn("n", F.count("*").over(w)).withColumn("least", F.expr(f"n div {splits + 1}"))
     edge = lambda k: f"(least + floor({k} * (n - least) / {splits}D))"
     folds = rows.select("*", F.explode(F.expr(f"sequence(1, {splits})")).alias("fold")).withColumn("lo", F.expr(edge("(fold - 1)"))).withColumn("hi", F.expr(edge("fold")))
     role = F.when((F.col("rn") >= F.col("lo")) & (F.col("rn") < F.col("hi")), "test").when(F.col("rn") < F.col("lo") - embargo, "train").when(F.col("rn") < F.col("lo"), "embargoed")
@@ -94,7 +96,7 @@ def ridge_scores(folds: DataFrame, h: int, shrink: float, column: str = "pi") ->
 def local_projection(panel: DataFrame, horizons: list[int], shrink: float = 1e-4, column: str = "pi") -> DataFrame:
     """Slope of the value h sessions on, per pair and horizon, after demeaning within the pair; pairs of rows come from an
     equi-join on the session number, so each horizon costs one row per session."""
-    rows = panel.withColumn("rn", F.row_number().over(BY_PAIR)).withColumn("x", F.col(column) - F.avg(column).over(Window.partitionBy("pair_id"))).select("pair_id", "rn", "x")
+    rows = panel.withColumn("rn", F.row_number().over(by_pair())).withColumn("x", F.col(column) - F.avg(column).over(Window.partitionBy("pair_id"))).select("pair_id", "rn", "x")
     now = rows.withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("at", F.col("rn") + F.col("h")).select("pair_id", "h", "x", "at")
     both = now.join(rows.select("pair_id", F.col("rn").alias("at"), F.col("x").alias("y")), ["pair_id", "at"])
     sums = both.groupBy("pair_id", "h").agg(F.count("*").alias("n"), (F.covar_pop("x", "y") * F.count("*")).alias("sxy"), (F.var_pop("x") * F.count("*")).alias("sxx"), F.corr("x", "y").alias("r"))
@@ -102,12 +104,12 @@ def local_projection(panel: DataFrame, horizons: list[int], shrink: float = 1e-4
 
 
 def non_overlapping(panel: DataFrame, h: int) -> DataFrame:
-    return panel.withColumn("rn", F.row_number().over(BY_PAIR) - 1).where(f"rn % {h} = 0")
+    return panel.withColumn("rn", F.row_number().over(by_pair()) - 1).where(f"rn % {h} = 0")
 
 
 def calm_and_stress(panel: DataFrame, share: float = 0.8, column: str = "pi") -> DataFrame:
     """Mean absolute change on days below and above the pair's ``share`` percentile of absolute changes."""
-    moves = panel.withColumn("m", F.abs(F.col(column) - F.lag(column).over(BY_PAIR))).where("m is not null")
+    moves = panel.withColumn("m", F.abs(F.col(column) - F.lag(column).over(by_pair()))).where("m is not null")
     cut = moves.groupBy("pair_id").agg(F.expr(f"percentile(m, {share})").alias("cut"))
     out = moves.join(cut, "pair_id").withColumn("stress", F.col("m") > F.col("cut"))
     return out.groupBy("pair_id", "stress").agg(F.count("*").alias("n"), F.avg("m").alias("mean_move"))
@@ -115,7 +117,7 @@ def calm_and_stress(panel: DataFrame, share: float = 0.8, column: str = "pi") ->
 
 def fx_regression(panel: DataFrame) -> DataFrame:
     """Slope of premium changes on FX changes by pair, its standard error and R squared, from regression sums."""
-    d = lambda c: F.ln(c) - F.lag(F.ln(c)).over(BY_PAIR)
-    rows = panel.select("pair_id", "date", d("fx").alias("x"), (F.col("pi") - F.lag("pi").over(BY_PAIR)).alias("y")).where("x is not null and y is not null")
+    d = lambda c: F.ln(c) - F.lag(F.ln(c)).over(by_pair())
+    rows = panel.select("pair_id", "date", d("fx").alias("x"), (F.col("pi") - F.lag("pi").over(by_pair())).alias("y")).where("x is not null and y is not null")
     sums = rows.groupBy("pair_id").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("beta"), F.regr_r2("y", "x").alias("r2"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"), F.regr_sxx("y", "x").alias("sxx"))
     return sums.select("pair_id", "n", "beta", "r2", F.expr("sqrt((syy - beta * sxy) / (n - 2) / sxx)").alias("se"))
