@@ -55,10 +55,16 @@ def test_rank_leaves_itself_out(spark):
     assert out[28]["rank"] is None and all(r["rank"] == 1.0 and r["state"] == "tight" for r in out[29:])
 
 
-def test_projection_recovers_a_slope(spark):
-    x, rows = 1.0, []
-    for i in range(200):
-        rows.append(("p", day(i), x))
-        x = 0.9 * x + ((i * 37) % 23 - 11) / 50
-    rho = {r["h"]: r["rho"] for r in S.local_projection(spark.createDataFrame(rows, "pair_id string, date date, pi double"), [1, 5]).collect()}
-    assert 0.75 < rho[1] < 1 and rho[5] < rho[1]
+def test_projection_equals_numpy(spark):
+    import numpy as np
+
+    noise, x = np.random.default_rng(1).normal(0, 0.1, 400), [1.0]
+    for e in noise:
+        x.append(0.9 * x[-1] + e)
+    x = np.array(x)
+    rows = spark.createDataFrame([("p", day(i), float(v)) for i, v in enumerate(x)], "pair_id string, date date, pi double")
+    rho = {r["h"]: (r["n"], r["rho"]) for r in S.local_projection(rows, [1, 5]).collect()}
+    for h in (1, 5):
+        a, b = x[:-h] - x[:-h].mean(), x[h:] - x[h:].mean()
+        assert rho[h] == (len(a), pytest.approx((a * b).sum() / ((a * a).sum() + 1e-4), abs=1e-9))
+    assert rho[1][1] > rho[5][1]
