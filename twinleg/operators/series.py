@@ -121,3 +121,19 @@ def fx_regression(panel: DataFrame) -> DataFrame:
     rows = panel.select("pair_id", "date", d("fx").alias("x"), (F.col("pi") - F.lag("pi").over(by_pair())).alias("y")).where("x is not null and y is not null")
     sums = rows.groupBy("pair_id").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("beta"), F.regr_r2("y", "x").alias("r2"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"), F.regr_sxx("y", "x").alias("sxx"))
     return sums.select("pair_id", "n", "beta", "r2", F.expr("sqrt((syy - beta * sxy) / (n - 2) / sxx)").alias("se"))
+
+
+def expanding_percentile(panel: DataFrame, warm_up: int = 504, column: str = "pi") -> DataFrame:
+    """Share of a pair's values so far, the last one included, that the last one reaches; null during the warm-up.
+
+    The held array is bounded by the calendar: one value for each session of one pair.
+    """
+    w = by_pair().rowsBetween(Window.unboundedPreceding, 0)
+    held = panel.withColumn("held", F.collect_list(column).over(w))
+    return held.withColumn("percentile", F.when(F.size("held") >= warm_up, F.expr(f"size(filter(held, v -> v <= {column})) / size(held)"))).drop("held")
+
+
+def relative_volume(panel: DataFrame, n: int = 63, least: int = 5) -> DataFrame:
+    """Volume over its trailing mean."""
+    w = by_pair().rowsBetween(-(n - 1), 0)
+    return panel.withColumn("relative_volume", full_window(F.col("volume") / F.avg("volume").over(w), n, least))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .panel import ORACLES, QUERIES
+from . import ledger, panel
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return panel.QUERIES | ledger.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return panel.ORACLES | ledger.ORACLES
