@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import ledger, panel
+from . import ledger, panel, trades
 
 
 def queries() -> dict:
-    return panel.QUERIES | ledger.QUERIES
+    return panel.QUERIES | ledger.QUERIES | trades.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return panel.ORACLES | ledger.ORACLES
+    return panel.ORACLES | ledger.ORACLES | trades.ORACLES
