@@ -79,8 +79,8 @@ def fold_report(folds: DataFrame) -> DataFrame:
     return folds.groupBy("pair_id", "fold").agg(*(F.count_if(F.col("role") == r).alias(r) for r in ("train", "test", "embargoed")))
 
 
-def ridge_scores(folds: DataFrame, h: int, shrink: float, column: str = "pi") -> DataFrame:
-    """One-feature ridge of the value ``h`` sessions on, fitted per pair and fold on centred training rows, scored out of fold.
+def ridge_predictions(folds: DataFrame, h: int, shrink: float, column: str = "pi") -> DataFrame:
+    """One-feature ridge of the value ``h`` sessions on, fitted per pair and fold on centred training rows: test rows with x, y, guess.
 
     The fit is five sums per fold, joined back to the fold's test rows; no model leaves Spark.
     """
@@ -88,7 +88,12 @@ def ridge_scores(folds: DataFrame, h: int, shrink: float, column: str = "pi") ->
     rows = folds.withColumn("y", F.lead(column, h).over(w)).withColumn("x", F.col(column))
     train = rows.where("role = 'train' and y is not null").groupBy("pair_id", "fold").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("cxy"), F.var_pop("x").alias("cxx"), F.count("*").alias("m"))
     test = rows.where("role = 'test' and y is not null").join(train, ["pair_id", "fold"])
-    test = test.withColumn("guess", F.expr(f"my + (x - mx) * (cxy * m) / (cxx * m + {shrink})"))
+    return test.withColumn("guess", F.expr(f"my + (x - mx) * (cxy * m) / (cxx * m + {shrink})"))
+
+
+def ridge_scores(folds: DataFrame, h: int, shrink: float, column: str = "pi") -> DataFrame:
+    """Out-of-fold scores of ``ridge_predictions`` by pair."""
+    test = ridge_predictions(folds, h, shrink, column)
     hit = F.when(F.col("y") != F.col("x"), (F.signum(F.col("guess") - F.col("x")) == F.signum(F.col("y") - F.col("x"))).cast("double"))
     return test.groupBy("pair_id").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("guess"), 2))).alias("rmse"), (1 - F.sum(F.pow(F.col("y") - F.col("guess"), 2)) / (F.var_pop("y") * F.count("*"))).alias("r2"), F.avg(hit).alias("sign_hit"))
 
