@@ -173,3 +173,15 @@ def test_personal_data(spark):
     assert out[20] == "email:0:5,email:5:12,ip:13:20" and out[21] == "card:3:22,phone:23:40" and out[1] == ""
     assert out[100] == "email:16:37,term:8:15" and out[200] == "term:5:12"
     assert sanitise.find_personal_data(texts(spark, rows).limit(0)).count() == 0
+
+
+def revealing(spark, rows):
+    found = sanitise.find_personal_data(texts(spark, rows + [(1000 + i, f"plain prose{i} without any") for i in range(60)]))
+    return {r["doc_id"]: sorted(x["hit"] for x in r["pii_spans"] if x["kind"] == "term") for r in found.collect()}
+
+
+def test_terms_of_entities_in_one_or_two_texts(spark):
+    twice = [(i, f"filler{i} zorblax boss@corp.example.com said{i}") for i in range(2)]
+    once = [(10 + i, f"intro{i} mailto user{i}@corp.example.com end{i}") for i in range(4)] + [(20, "the mailto word alone"), (21, "🙂é x@y.z")]
+    out = revealing(spark, twice + once)
+    assert [out[i] for i in range(2)] == [["zorblax"]] * 2 and [out[i] for i in (10, 13, 20, 21)] == [["mailto"]] * 3 + [[]]

@@ -1,8 +1,10 @@
 """PII: information-theoretic sanitisation.  Only DataFrame and SQL functions.
 
-Rules find the protected entities.  For the terms beside them, corpus counts estimate how strongly a term reveals an entity:
+Rules find the protected entities.  For the terms of their texts, corpus counts estimate how strongly a term reveals an entity:
 the pointwise mutual information of term and entity against the entity's information content, which is one plus the log of
-p(entity | term) over that content.  Terms with enough support whose p(entity | term) reaches the disclosure threshold are
+p(entity | term) over that content.  Both are counted in different texts, wherever in the text a word stands.  Entities of a
+single text have no counts of their own that a chance word wouldn't have too: they are judged by their kind (p(kind | term)).
+Below SUPPORT shared texts one more text without the entity is assumed.  Terms that reach the disclosure threshold are
 further spans, wherever they stand; entities are generalised to their kind, such terms are removed.
 """
 
@@ -23,9 +25,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 KINDS = ["email", "ip", "card", "phone", "term"]
 
-#: Words on each side of an entity that count as its context, code points searched for them, texts that must show term and
-#: entity together, and the least p(entity | term).
-REACH, MARGIN, SUPPORT, DISCLOSURE = 3, 60, 3, 0.5
+#: Texts with term and entity from which on p(entity | term) is taken as counted, and its least value, which is also the least
+#: share of the entity's information content.
+SUPPORT, DISCLOSURE = 3, 0.5
 
 
 def _luhn(digits: str) -> str:
@@ -53,24 +55,18 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def contexts(found: DataFrame, text: str = "text") -> DataFrame:
-    """(pii_key, entity, term): the whole words within REACH of each entity's span, in lower case, once per text."""
-    hit = found.where("size(rule_spans) > 0").select("pii_key", F.col(text).alias("t"), F.explode("rule_spans").alias("x"))
-    sides = hit.select(
-        "pii_key",
-        F.concat("x.kind", F.lit(":"), F.lower("x.hit")).alias("entity"),
-        # one word more is taken on the far side and left out, as the margin may cut it
-        F.expr(f"split(substring(t, greatest(x.start - {MARGIN}, 0) + 1, least(x.start, {MARGIN})), '{GAP.replace(chr(92), chr(92) * 2)}')").alias("before"),
-        F.expr(f"split(substring(t, x.end + 1, {MARGIN}), '{GAP.replace(chr(92), chr(92) * 2)}')").alias("after"),
-    )
-    words = sides.select(
-        "pii_key",
-        "entity",
-        F.explode(F.expr(f"""concat(
-            slice(before, greatest(2, size(before) - {REACH}), greatest(0, least({REACH}, size(before) - 2))),
-            slice(after, 2, greatest(0, least({REACH}, size(after) - 2))))""")).alias("term"),
-    )
-    return words.where("term <> ''").select("pii_key", "entity", F.lower("term").alias("term")).distinct()
+def evidence(found: DataFrame) -> DataFrame:
+    """(pii_key, held): for each text with entities, what it holds as (key, texts), texts being the different texts that hold it.
+
+    Keys are the kinds, and the entities of two texts or more; entities of the same texts have the same counts and one key.
+    """
+    spans = found.where("size(rule_spans) > 0").select("pii_key", F.explode("rule_spans").alias("x"))
+    own = written(spans.select("pii_key", "x.kind", F.concat("x.kind", F.lit(":"), F.lower("x.hit")).alias("entity")).distinct(), "entities")
+    named = own.groupBy("entity").agg(F.bit_xor(F.xxhash64("pii_key")).alias("key"), F.count("*").alias("texts")).where("texts > 1")
+    kinds = own.groupBy("kind").agg(F.xxhash64("kind").alias("key"), F.count_distinct("pii_key").alias("texts"))
+    rows = own.join(small(written(named, "named")), "entity").select("pii_key", "key", "texts")
+    rows = rows.unionAll(own.join(F.broadcast(kinds), "kind").select("pii_key", "key", "texts"))
+    return rows.groupBy("pii_key").agg(F.collect_set(F.struct("key", "texts")).alias("held"))
 
 
 def words_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,21 +75,23 @@ def words_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.xxhash64(t).alias("pii_key"), F.explode(F.array_distinct(F.split(F.lower(t), GAP))).alias("term")).where("term <> ''")
 
 
-def different_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text): one row for each different text; copies are dropped before the shuffle."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.groupBy(F.xxhash64(t).alias("pii_key")).agg(F.first(t).alias(text)).select(text)
-
-
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """Terms that reveal an entity, and the texts (pii_key, term) they stand in.  Equal texts count once.
+    """Terms that reveal an entity or a kind, and the texts (pii_key, term) they stand in.  Equal texts count once.
 
-    The words of all texts are counted by an aggregation that combines before its shuffle; only terms that pass the threshold
-    are looked up in the texts again.
+    Terms are counted over whole texts, alone and with each key of their text, by one aggregation that combines before its
+    shuffle.  ``reach`` is the largest number of texts at which a term with that many shared ones still discloses, so a term's
+    counts are never joined; only terms that pass are looked up in the texts again.
     """
-    together = written(contexts(found, text).groupBy("entity", "term").agg(F.count("*").alias("both")).where(f"both >= {support}"), "together")
-    alone = words_of(different_texts(docs, text), text).groupBy("term").agg(F.count("*").alias("n")).where(f"n >= {support}")
-    strong = written(together.join(alone.hint("merge"), "term").where(f"both >= {disclosure} * n").select("term").distinct(), "strong")
+    total = found.select("pii_key").distinct().count()
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.groupBy(F.xxhash64(t).alias("pii_key")).agg(F.first(t).alias("t")).join(small(written(evidence(found), "evidence")), "pii_key", "left")
+    rows = rows.select("t", F.explode(F.expr("concat(array(cast(null as struct<key: bigint, texts: bigint>)), coalesce(held, array()))")).alias("k"))
+    words = rows.select("k.key", "k.texts", F.explode(F.array_distinct(F.split(F.lower("t"), GAP))).alias("term")).where("term <> ''")
+    counts = words.groupBy("term", "key", "texts").agg(F.count("*").alias("n"))
+    sure = f"if(n >= {support}, n / {disclosure}D, ceil(n / {disclosure}D) - 2)"
+    reach = F.expr(f"if(key is null, null, least({sure}, n / pow(texts / {max(total, 1)}D, 1 - {disclosure}D)))")
+    best = counts.groupBy("term").agg(F.max(F.expr("if(key is null, n, null)")).alias("n"), F.max(reach).alias("reach"))
+    strong = written(best.where("reach >= n").select("term"), "strong")
     return strong, written(words_of(docs, text).join(small(strong), "term", "left_semi").distinct(), "revealing")
 
 
@@ -123,9 +121,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep_text: bool = Tr
     """
     docs = docs.drop("pii_spans", "pii_key", "rule_spans", "term_spans", "pii_text")
     found = extract(docs, text)
-    together = found.where("size(rule_spans) > 0")
     kept = written(found if keep_text else found.drop(text), "pii")
-    strong, places = disclosing_terms(docs, kept if keep_text else together, text, support, disclosure)
+    strong, places = disclosing_terms(docs, kept, text, support, disclosure)
     if places.isEmpty():
         return kept.withColumn("pii_spans", F.col("rule_spans").cast(SPAN)).drop("rule_spans", "pii_key")
     more = written(term_spans(docs, places, text), "termspans")
