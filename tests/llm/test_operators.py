@@ -185,3 +185,10 @@ def test_terms_of_entities_in_one_or_two_texts(spark):
     once = [(10 + i, f"intro{i} mailto user{i}@corp.example.com end{i}") for i in range(4)] + [(20, "the mailto word alone"), (21, "🙂é x@y.z")]
     out = revealing(spark, twice + once)
     assert [out[i] for i in range(2)] == [["zorblax"]] * 2 and [out[i] for i in (10, 13, 20, 21)] == [["mailto"]] * 3 + [[]]
+
+
+def test_terms_at_the_ends_of_texts_and_far_from_an_entity(spark):
+    far = [(i, f"zorblax one{i} two{i} three{i} four{i} five{i} boss@corp.example.com six{i} seven{i} eight{i} nine{i} quuxly") for i in range(3)]
+    ends = [(10 + i, f"vexillo info@corp.example.com said{i}") for i in range(3)]
+    out = revealing(spark, far + ends)
+    assert [out[i] for i in range(3)] == [["quuxly", "zorblax"]] * 3 and [out[10 + i] for i in range(3)] == [["vexillo"]] * 3
