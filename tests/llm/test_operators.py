@@ -192,3 +192,23 @@ def test_terms_at_the_ends_of_texts_and_far_from_an_entity(spark):
     ends = [(10 + i, f"vexillo info@corp.example.com said{i}") for i in range(3)]
     out = revealing(spark, far + ends)
     assert [out[i] for i in range(3)] == [["quuxly", "zorblax"]] * 3 and [out[10 + i] for i in range(3)] == [["vexillo"]] * 3
+
+
+def test_packing_brings_related_documents_of_all_tasks_together(spark):
+    from tokenizers import Tokenizer
+
+    words = sorted(w for w in Tokenizer.from_file(tokenizer("word_bpe_49k.json")).get_vocab() if w.isascii() and w.isalpha() and len(w) > 7)
+    own = [" ".join(words[8 * i : 8 * i + 8]) for i in range(100)]
+    rows = [(i + 1000 * half, f"some plain words {own[i]} and other words {own[i]}") for half in range(2) for i in range(100)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    out = packing.pack(docs, tokenizer("word_bpe_49k.json"), window=128).toPandas()
+    held = out.groupby("doc_id")["sequence_id"].agg(set)
+    assert sum(1 for i in range(100) if held[i] & held[1000 + i]) > 80
+
+
+def test_packing_looks_up_all_terms_of_a_seed():
+    rows = [np.arange(100), np.r_[np.arange(40), np.arange(260, 340)], np.r_[np.arange(40, 100), np.arange(200, 260)]]
+    idf = np.r_[np.full(40, 1.01), np.ones(360)]
+    index = packing.Shard(rows, 400, idf, 80.0)
+    index.free[0] = False
+    assert index.neighbours(0, 1) == [2]

@@ -1,8 +1,10 @@
 """Lexical retrieval packing: a sharded BM25 index returns unused neighbours of each seed document, which fill its window.
 
 Texts are tokenized once into a written table.  Document frequencies and lengths come from all of it; they are bounded by the
-vocabulary.  Each task then reads its part of the table in shards of bounded tokens, indexes a shard and packs it, so nothing is
-shuffled and no group grows with the data.  Task order is the table's, so a rerun after a lost executor gives the same result.
+vocabulary.  Documents are then dealt by content: in the order of their rarest terms, by ranges, so that those that share such
+terms meet wherever they stood in the input; a term of many documents is split by the next ones, then by a hash.  Each task reads
+its range in shards of bounded tokens, indexes a shard and packs it, so no group grows with the data.  A range is sorted by content,
+so a rerun after a lost executor gives the same result.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from .bpe import codec
 from .common import written
 
-#: BM25 constants, terms of a seed that are looked up (those of highest weight), and a shard's bounds.
-K1, B, TERMS = 1.2, 0.75, 24
+#: BM25 constants, rarest terms that deal a document, and a shard's bounds.
+K1, B, KEYS = 1.2, 0.75, 3
 SHARD_DOCS, SHARD_TOKENS = 4096, 6_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -79,6 +81,29 @@ def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, found.get(-1, 0), found.get(-2, 0) / max(1, found.get(-1, 0))
 
 
+def by_content(tokens: DataFrame, df: np.ndarray) -> DataFrame:
+    """``tokens`` dealt and sorted by each document's KEYS rarest terms that another document holds too."""
+    names = [f"key{k}" for k in range(KEYS)]
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                size = part.column(2)[0].as_py()
+                doc, term, _ = _terms([_ids(x, size) for x in part.column(1).to_pylist()], size)
+                doc, term = doc[df[term] > 1], term[df[term] > 1]
+                order = np.lexsort((term, df[term], doc))
+                doc, term = doc[order], term[order]
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                keys = np.full((KEYS, part.num_rows), -1, np.int32)
+                keys[place[place < KEYS], doc[place < KEYS]] = term[place < KEYS]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(k) for k in keys)], names=["doc_id", "ids", "size", *names])
+
+    keyed = tokens.mapInArrow(run, "doc_id long, ids binary, size int, " + ", ".join(f"{k} int" for k in names))
+    order = [*names, F.xxhash64("ids"), "doc_id"]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids", "size")
+
+
 class Shard:
     """An inverted index over some documents, with corpus-wide weights."""
 
@@ -97,11 +122,9 @@ class Shard:
         self.free = np.ones(self.n, bool)
 
     def neighbours(self, seed: int, want: int) -> list[int]:
-        """Unused documents by falling BM25 score for the seed's heaviest terms, at most ``want``."""
+        """Unused documents by falling BM25 score for all terms of the seed, at most ``want``."""
         terms = self.terms[self.begin[seed] : self.begin[seed + 1]]
         terms = terms[self.at[terms + 1] - self.at[terms] > 1]
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], TERMS)[:TERMS]]
         if not len(terms):
             return []
         spans = [slice(self.at[t], self.at[t + 1]) for t in np.sort(terms).tolist()]
@@ -180,4 +203,4 @@ def pack(docs: DataFrame, path: str, window: int = 4096, eos: int = 2) -> DataFr
         if rows:
             yield shard(ids, rows, size)
 
-    return tokens.mapInArrow(run, PIECES)
+    return by_content(tokens, df).mapInArrow(run, PIECES)
