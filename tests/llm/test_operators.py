@@ -212,3 +212,25 @@ def test_packing_looks_up_all_terms_of_a_seed():
     index = packing.Shard(rows, 400, idf, 80.0)
     index.free[0] = False
     assert index.neighbours(0, 1) == [2]
+
+
+def test_warc_salvage_inside_members():
+    def whole(bodies):
+        return b"".join(warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), None) for i, b in enumerate(bodies))
+
+    def packed(data):
+        pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+        return pack.compress(data) + pack.flush()
+
+    ids = lambda parts: [int(re.findall(r"\d+", f["warc-record-id"])[0]) for *_, f, _ in parts if f]
+    rng = np.random.default_rng(1)
+    bodies = [rng.integers(0, 256, 30_000, dtype=np.uint8).tobytes() for _ in range(8)]
+    bad = packed(whole(bodies).replace(bodies[3][:50], b"#" * 50))
+    parts = list(warc.salvage(bad + packed(whole(bodies[:1]))))
+    assert ids(parts) == [0, 1, 2, 4, 5, 6, 7, 0] and sum(n for _, n, *_ in parts) == len(bad) + len(packed(whole(bodies[:1])))
+    assert [x for *_, f, x in parts if not f and "payload digest differs" in x]
+    good = packed(whole(bodies))
+    parts = list(warc.salvage(good[: len(good) // 2]))
+    assert ids(parts)[:3] == [0, 1, 2] and 3 <= len(ids(parts)) < 8 and parts[-1][1:] == (len(good) // 2, None, "member is cut off")
+    parts = list(warc.salvage(good[:-8] + b"\0" * 8 + good))
+    assert ids(parts) == [*range(8), *range(8)] and sum(n for _, n, *_ in parts) == 2 * len(good)

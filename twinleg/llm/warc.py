@@ -3,7 +3,8 @@
 Archives are sequences of gzip members, one per record, in files of bounded size written by tasks to the shared folder through
 pyarrow's file systems.  The reader takes an archive's bytes, compressed or not, and checks each record: length fields, the
 closing blank lines, and the payload digest.  After a failed check it searches for the next place at which a member or a version
-line begins and reads on from there; the bytes between are one quarantined gap.
+line begins and reads on from there; the bytes between are one quarantined gap.  The same search runs inside a member, over
+what could be decompressed.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ VERSION, MEMBER, END = b"WARC/1.1\r\n", b"\x1f\x8b\x08", b"\r\n\r\n"
 #: Smallest payload that is worth a revisit record, uncompressed bytes after which a file is closed, compression level.
 LEAST_REVISIT, FILE_BYTES, LEVEL = 100, 32 << 20, 1
 PREFIX = "urn:page:"
+#: A version line, and bytes that are decompressed at a time.
+LINE, PIECE = re.compile(rb"WARC/\d\.\d\r\n"), 1 << 16
 
 RECORDS = "path string, at long, size long, kind string, reason string, record_id string, target string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
@@ -123,46 +126,79 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return fields | {"payload": payload}, end + 4, ""
 
 
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` holds, its end, and what failed; a damaged or cut-off member gives the bytes before that."""
+    view, unpack, out, pos = memoryview(data), zlib.decompressobj(31), [], at
+    try:
+        while pos < len(data) and not unpack.eof:
+            out.append(unpack.decompress(view[pos : pos + PIECE]))
+            pos = min(pos + PIECE, len(data))
+    except zlib.error as e:
+        unpack = zlib.decompressobj(31)
+        out = [unpack.decompress(view[at:pos])]
+        try:
+            for i in range(pos, len(data)):  # fails within a piece
+                out.append(unpack.decompress(view[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), at, f"member: {e}"
+    return b"".join(out), pos - len(unpack.unused_data), "" if unpack.eof else "member is cut off"
+
+
+def _inside(whole: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
+    """(offset, size, fields, reason) over uncompressed data: records, and the gaps up to the next version line of one."""
+    at, gap, why = 0, None, ""
+    while at < len(whole):
+        fields, end, reason = _parse(whole, at)
+        if fields is None:
+            if gap is None:
+                gap, why = at, reason
+            later = LINE.search(whole, at + 1)
+            at = later.start() if later else len(whole)
+            continue
+        if gap is not None:
+            yield gap, at - gap, None, why
+            gap = None
+        yield at, end - at, fields, ""
+        at = end
+    if gap is not None:
+        yield gap, len(whole) - gap, None, why
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """(offset, size, fields, reason) over an archive's bytes: records have fields, quarantined gaps have None and a reason.
 
-    Every byte lies in exactly one record or gap.  A member is decompressed whole; one that is damaged, cut off or doesn't hold
-    valid records is skipped up to the next candidate place.
+    Every byte lies in exactly one record or gap.  Of a member with several parts the first has the member's size and the others
+    0; a gap inside says where in the decompressed data it lies.  A damaged or cut-off member is a gap, skipped up to the next
+    candidate place; the records found in what could be decompressed come before it, with size 0 (of a damaged one only
+    responses whose digest is right, as a wrong byte can come out before the damage shows).
     """
     start = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
     at, gap, why = 0, None, ""
     while at < len(data):
         found, end, reason = [], at, ""
         if data.startswith(MEMBER, at):
-            unpack = zlib.decompressobj(31)
-            try:
-                whole = unpack.decompress(memoryview(data)[at:]) + unpack.flush()
-                if not unpack.eof:
-                    reason = "member is cut off"
-                else:
-                    end, inside = len(data) - len(unpack.unused_data), 0
-                    while inside < len(whole):
-                        fields, inside, reason = _parse(whole, inside)
-                        if fields is None:
-                            break
-                        found.append(fields)
-            except zlib.error as e:
-                reason = f"member: {e}"
-            if reason:
-                found = []
+            whole, end, reason = _inflate(data, at)
+            found = [(f, "" if f else f"inside the member at {i}, {n} bytes: {x}") for i, n, f, x in _inside(whole)]
+            if reason.startswith("member: "):
+                found = [(f, x) for f, x in found if not f or (f.get("warc-type") == "response" and f.get("warc-payload-digest", "").startswith("sha256:"))]
+            if not any(f for f, _ in found):
+                reason, found = reason or (found[0][1] if found else ""), []
         elif data.startswith(b"WARC/", at):
             fields, end, reason = _parse(data, at)
-            found = [] if fields is None else [fields]
+            found = [] if fields is None else [(fields, "")]
         else:
             reason = "neither a member nor a version line"
         if found and not reason:
             if gap is not None:
                 yield gap, at - gap, None, why
                 gap = None
-            for i, fields in enumerate(found):
-                yield at, end - at if not i else 0, fields, ""
+            for i, (fields, inner) in enumerate(found):
+                yield at, end - at if not i else 0, fields, inner
             at = end
         else:
+            for fields, inner in found:
+                yield at, 0, fields, inner
             if gap is None:
                 gap, why = at, reason or "empty member"
             later = start.search(data, at + 1)
@@ -171,7 +207,6 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
         yield gap, len(data) - gap, None, why
 
 
-
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Records and gaps (kind: record or gap) of all archives in ``folder``, with payloads; see RECORDS."""
 
