@@ -234,3 +234,14 @@ def test_warc_salvage_inside_members():
     assert ids(parts)[:3] == [0, 1, 2] and 3 <= len(ids(parts)) < 8 and parts[-1][1:] == (len(good) // 2, None, "member is cut off")
     parts = list(warc.salvage(good[:-8] + b"\0" * 8 + good))
     assert ids(parts) == [*range(8), *range(8)] and sum(n for _, n, *_ in parts) == 2 * len(good)
+
+
+def test_warc_keeps_pages_with_long_urls(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a/WARC/1.1", "x"), (2, "http://a/" + "y" * 200_000, "z"), (3, "http://a/" + "y" * 70_000 + "/WARC/1.1", "z")], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.round_trip(pages).collect()) == [1, 2, 3]
+    data = warc.record(1, "u" * 100_000, b"x", hashlib.sha256(b"x").hexdigest(), None)
+    assert sum(1 for *_, f, _ in warc.salvage(data[:90_000] + b"\r\n" + data) if f) == 1
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda s, folder: read(s, folder).where("record_id <> '<urn:page:2>'"))
+    with pytest.raises(RuntimeError, match="3 records were written and 2 read"):
+        warc.round_trip(pages)

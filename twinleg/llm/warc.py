@@ -26,8 +26,8 @@ VERSION, MEMBER, END = b"WARC/1.1\r\n", b"\x1f\x8b\x08", b"\r\n\r\n"
 #: Smallest payload that is worth a revisit record, uncompressed bytes after which a file is closed, compression level.
 LEAST_REVISIT, FILE_BYTES, LEVEL = 100, 32 << 20, 1
 PREFIX = "urn:page:"
-#: A version line, and bytes that are decompressed at a time.
-LINE, PIECE = re.compile(rb"WARC/\d\.\d\r\n"), 1 << 16
+#: A version line, one that begins a line, and bytes that are decompressed at a time.
+LINE, NEXT, PIECE = re.compile(rb"WARC/\d\.\d\r\n"), re.compile(rb"\nWARC/\d\.\d\r\n"), 1 << 16
 
 RECORDS = "path string, at long, size long, kind string, reason string, record_id string, target string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
@@ -105,6 +105,9 @@ def write_archives(decided: DataFrame, folder: str) -> DataFrame:
 def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """The record at ``at`` of uncompressed ``data``: fields, its end, and what failed."""
     stop = data.find(END, at, at + (1 << 16))
+    if stop < 0 and data[at : at + 5] == b"WARC/":  # a long header: up to the next record's version line
+        later = NEXT.search(data, at)
+        stop = data.find(END, at, later.start() + 1 if later else len(data))
     if data[at : at + 5] != b"WARC/" or stop < 0:
         return None, at, "no version line or header end"
     fields = {}
@@ -241,20 +244,30 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     A response's digest and size are those of the payload that was read; the reader has checked them against the header.  A
     null html is an empty payload, a null url has no target field, a null page_id is always a response.  Repeated page_ids stay
-    repeated; a repeated smallest page_id is a response each time.  No pages give no rows.
+    repeated; a repeated smallest page_id is a response each time.  No pages give no rows.  Raises if the records read aren't as
+    many as were written.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     manifest = write_archives(decide(pages), folder)
-    if not manifest.agg(F.sum("records")).first()[0]:
+    sent = manifest.agg(F.sum("records")).first()[0]
+    if not sent:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     number = lambda c: F.regexp_extract(c, rf"^<{PREFIX}(-?[0-9]+)>$", 1).try_cast("long")
-    found = read_archives(spark, folder).where("kind = 'record'")
+    found = read_archives(spark, folder)
     own = F.col("record_type") == "response"
-    return found.select(
+    back = found.select(
+        "kind",
+        "reason",
         number("record_id").alias("page_id"),
         F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+    back = written(back, "readback")
+    got = back.where("kind = 'record'").count()
+    if got != sent:
+        reasons = [r["reason"] for r in back.where("kind = 'gap'").select("reason").limit(3).collect()]
+        raise RuntimeError(f"{sent} records were written and {got} read back; gaps: {reasons}")
+    return back.where("kind = 'record'").drop("kind", "reason")
