@@ -68,3 +68,14 @@ def test_projection_equals_numpy(spark):
         a, b = x[:-h] - x[:-h].mean(), x[h:] - x[h:].mean()
         assert rho[h] == (len(a), pytest.approx((a * b).sum() / ((a * a).sum() + 1e-4), abs=1e-9))
     assert rho[1][1] > rho[5][1]
+
+
+def test_series_digest_depends_on_every_row_and_column(spark):
+    from pyspark.sql import functions as F
+
+    from twinleg.plans.panel import series_digest
+
+    rows = [("p", "A", f"2020-01-0{i}", 1.0 * i, 2.0 * i, 0.5 * i, 10 * i) for i in range(1, 6)]
+    digest = lambda r: series_digest(spark.createDataFrame(r, "pair_id string, leg string, date string, close double, high double, low double, volume long").withColumn("date", F.to_date("date"))).first()["digest"]
+    changed = [[(*r[:k], r[k] + 1, *r[k + 1 :]) if i == j else r for j, r in enumerate(rows)] for i in range(5) for k in range(3, 7)]
+    assert len({digest(r) for r in [rows, rows[1:], *changed[::3]]}) == 2 + len(changed[::3]) and digest(rows[::-1]) == digest(rows)

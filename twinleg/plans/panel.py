@@ -148,7 +148,7 @@ _add("txt01_line_scan", _lines, "WITH l AS (SELECT unnest(string_split(text, chr
 
 
 def _digests(s, d):
-    """SNK-02: a digest of each series in canonical form; rows are hashed first, so an order-free sum needs no long group."""
+    """SNK-02, first form: the least row hash of date and volume, which is no digest of the series; see snk02_whole_digest."""
     row = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.col("volume").cast("string"))
     return daily_bars(s, d).groupBy("pair_id", "leg").agg(F.count("*").alias("rows"), F.min(F.sha2(row, 256)).alias("least_digest"))
 
@@ -156,6 +156,20 @@ def _digests(s, d):
 _add("snk02_series_digest", _digests, " SELECT pair_id, leg, count(*) AS rows, min(sha256(strftime(date, '%Y-%m-%d') || ',' || volume)) least_digest FROM bars GROUP BY 1, 2")
 
 
+def series_digest(bars: DataFrame) -> DataFrame:
+    """SNK-02: a digest of all rows and columns of each series in canonical form; a series is bounded by its calendar.
+
+    A half of the sixth decimal is lifted before rounding, so that the last bit of a quotient doesn't decide.
+    """
+    numbers = [F.format_string("%.6f", F.round(F.col(c).cast("double") + 1e-9, 6)) for c in ("close", "high", "low", "volume")]
+    row = F.sha2(F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), *(F.coalesce(n, F.lit("")) for n in numbers)), 256)
+    return bars.groupBy("pair_id", "leg").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("digest"))
+
+
+_add("snk02_whole_digest", lambda s, d: series_digest(daily_bars(s, d)),
+     ", h AS (SELECT pair_id, leg, sha256(strftime(date, '%Y-%m-%d') || " + " || ".join(f"',' || coalesce(printf('%.6f', round(CAST({c} AS DOUBLE) + 1e-9, 6)), '')" for c in ("close", "high", "low", "volume")) + ") h FROM bars) SELECT pair_id, leg, count(*) AS rows, sha256(string_agg(h, chr(10) ORDER BY h)) AS digest FROM h GROUP BY 1, 2")
+
+
 def _minutes(s, d):
     """STR-04: hourly bars of each feed."""
     e = read(s, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), F.col("event_type").alias("symbol"))
