@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .bpe import codec
 from .common import written
 
-#: BM25 constants, rarest terms that deal a document, and a shard's bounds.
-K1, B, KEYS = 1.2, 0.75, 3
+#: BM25 constants, rarest terms that deal a document, neighbours fetched at a time, and a shard's bounds.
+K1, B, KEYS, FETCH = 1.2, 0.75, 3, 48
 SHARD_DOCS, SHARD_TOKENS = 4096, 6_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -136,18 +136,27 @@ class Shard:
         return found[np.lexsort((found, -score[found]))].tolist()
 
     def pieces(self, window: int):
-        """(row, start, length, sequence, offset) of each piece; only full sequences and powers of two arise."""
+        """(row, start, length, sequence, offset) of each piece; only full sequences and powers of two arise.
+
+        The document that opens a window asks for its neighbours, FETCH at a time until the window is full; when no unused
+        document shares a term with it, the next unused one opens a ranking of its own.
+        """
         out, sequence, room, unused = [], 0, window, iter(range(self.n))
-        seed, start, queue = None, 0, []
+        seed, start, queue, asker = None, 0, [], None
         total = sum(map(len, self.rows))
         while total:
             if seed is None:
                 while queue and not self.free[queue[-1]]:
                     queue.pop()
-                seed = queue.pop() if queue else next(i for i in unused if self.free[i])
+                if not queue and asker is not None:  # further down the window's own ranking
+                    queue = self.neighbours(asker, FETCH)[::-1]
+                if queue:
+                    seed = queue.pop()
+                else:
+                    seed = asker = next(i for i in unused if self.free[i])
                 self.free[seed], start = False, 0
-            if room == window or not queue:
-                queue = self.neighbours(seed, 48)[::-1]
+            if room == window:
+                asker, queue = seed, self.neighbours(seed, FETCH)[::-1]
             if room == window and total < window:
                 room = 1 << (total.bit_length() - 1)  # the shard's rest: powers of two, which need no padding
                 window = room
