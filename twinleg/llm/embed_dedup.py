@@ -89,9 +89,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), F.col("label").cast("string").alias("label"))
     good = "vec_id is not null and label is not null and e is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < 1.7976931348623157e308D) and exists(e, x -> x <> 0)"
     rows = written(rows.withColumn("good", F.coalesce(F.expr(good), F.lit(False))), "vectors")
-    key = F.xxhash64("label", "e")
-    # equal vectors once, with their number; the hash only spreads them, the vector itself is part of the key
-    once = rows.where("good").withColumn("key", key).groupBy("key", "label", "e").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
+    key, key2 = F.xxhash64("label", "e"), F.xxhash64(F.lit(1), "label", "e")
+    # equal vectors once, with their number; the vector itself is part of the key, and rows find it again by 128 bits
+    once = rows.where("good").withColumn("key", key).withColumn("key2", key2).groupBy("key", "key2", "label", "e").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
 
     once = written(once, "once")
     width = WINDOW * sqrt(2 - 2 * threshold)
@@ -140,9 +140,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     found = written(meet.groupBy("label", "x", "y", "dim").applyInPandas(pair_up, "a long, b long, links long"), "found")
     linked = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("first"), "links")
     group = connected_components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("first"), F.col("component"))
-    named = once.select("key", "first", "weight", "label").join(linked.hint("merge"), "first", "left").join(group.hint("merge"), "first", "left")
-    per_vector = written(named.select("key", F.coalesce("component", "first").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")), "pervector")
-    out = rows.withColumn("key", F.when(F.col("good"), key)).join(small(per_vector), "key", "left")
+    named = once.select("key", "key2", "first", "weight", "label").join(linked.hint("merge"), "first", "left").join(group.hint("merge"), "first", "left")
+    per_vector = written(named.select("key", "key2", F.coalesce("component", "first").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")), "pervector")
+    out = rows.withColumn("key", F.when(F.col("good"), key)).withColumn("key2", key2).join(small(per_vector), ["key", "key2"], "left")
     own = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
 
