@@ -235,6 +235,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, RECORDS)
 
 
+def log_gaps(found: DataFrame, path: str) -> None:
+    """Append the quarantined byte gaps of ``found`` (rows of ``read_archives``) to the log table at ``path``."""
+    found.where("kind = 'gap'").select(F.current_timestamp().alias("logged"), "path", "at", "size", "reason").write.mode("append").parquet(path)
+
+
 ARROW = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in RECORDS.split(", ")]
 
 
@@ -257,6 +262,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     found = read_archives(spark, folder)
     own = F.col("record_type") == "response"
     back = found.select(
+        "path",
+        "at",
+        "size",
         "kind",
         "reason",
         number("record_id").alias("page_id"),
@@ -266,8 +274,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
         number("refers_to").alias("refers_to"),
     )
     back = written(back, "readback")
+    log_gaps(back, f"{folder}-gaps")
     got = back.where("kind = 'record'").count()
     if got != sent:
         reasons = [r["reason"] for r in back.where("kind = 'gap'").select("reason").limit(3).collect()]
-        raise RuntimeError(f"{sent} records were written and {got} read back; gaps: {reasons}")
-    return back.where("kind = 'record'").drop("kind", "reason")
+        raise RuntimeError(f"{sent} records were written and {got} read back; gaps are logged in {folder}-gaps: {reasons}")
+    return back.where("kind = 'record'").drop("path", "at", "size", "kind", "reason")
