@@ -138,7 +138,30 @@ def test_jaccard_join_equals_brute_force(spark):
     for n, num, den in ((3, 9, 10), (5, 4, 5)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.join_documents(texts(spark, rows), n, (num, den)).collect()}
         assert got == brute_groups(rows, n, num, den)
-    assert shingle_join.keep_one(texts(spark, rows + [(900, None)])).count() == len({c for _, c in brute_groups(rows, 5, 4, 5).values()})
+    # both rows without a text stay
+    assert shingle_join.keep_one(texts(spark, rows + [(900, None)])).count() == 1 + len({c for _, c in brute_groups(rows, 5, 4, 5).values()})
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue black white grey")
+    rows = [(1, a, 1), (1, b, 2), (2, a.upper(), 3), (3, c, 4), (3, c, 5), (None, a, 6), (None, a, 7), (4, None, 8), (4, "", 9), (5, b + " ", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set_1 int").withColumnRenamed("set_1", "extra")
+    kept = shingle_join.keep_one(docs).collect()
+    assert sorted(r["extra"] for r in kept if r["extra"] not in (4, 5)) == [1, 2, 6, 7, 8, 9] and sum(r["extra"] in (4, 5) for r in kept) == 1
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in shingle_join.join_documents(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, 3, 1), (1, 2, 1), (2, 3, 1), (3, 2, 3), (3, 2, 3), (None, 3, None), (None, 3, None), (4, 0, 4), (4, 0, 4), (5, 2, 1)], key=str)
+    assert shingle_join.keep_one(docs.limit(0)).count() == 0 and shingle_join.join_documents(docs.limit(0)).count() == 0
+
+
+def test_slabs_give_each_pair_across_components_once(monkeypatch, spark):
+    monkeypatch.setattr(shingle_join, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(shingle_join, "FEW", 3)
+    monkeypatch.setattr(shingle_join, "SLAB", 7)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join(f"x{rng.integers(9999)}" if rng.random() < 0.04 else w for w in base)) for i in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.join_documents(texts(spark, rows), 3, (3, 4)).collect()}
+    assert got == brute_groups(rows, 3, 3, 4)
 
 
 def test_vectors_equal_brute_force(spark):
@@ -175,6 +198,36 @@ def test_personal_data(spark):
     assert sanitise.find_personal_data(texts(spark, rows).limit(0)).count() == 0
 
 
+def plain_spans(t):
+    """The contract's rules by Python's re."""
+    out = []
+    digits = lambda x: re.sub("[^0-9]", "", x)
+
+    def luhn(d):
+        return sum(c if k % 2 == 0 else c * 2 // 10 + c * 2 % 10 for k, c in enumerate(map(int, d[::-1]))) % 10 == 0
+
+    tests = {"email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda h: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda h: all(int(p) <= 255 for p in h.split("."))),
+             "card": (r"[0-9]([\x20-]?[0-9])+", lambda h: 13 <= len(digits(h)) <= 19 and luhn(digits(h))), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda h: 9 <= len(digits(h)) <= 15)}
+    for kind, (pattern, test) in tests.items():
+        out += [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, t) if test(m.group())]
+    return ",".join(out)
+
+
+def test_rule_spans_equal_the_plain_rules(spark):
+    rng = np.random.default_rng(11)
+    pieces = ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500000000000004", "1.2.3.4", "300.1.2.3", "a@b.c", "x.y@z", "+1 (988) 555-2485", "@", ".", "-", " ", "+", "7", "12", "🙂", "é", "\n"]
+    rows = [(i, "".join(rng.choice(pieces, rng.integers(1, 25)))) for i in range(1500)]
+    rows += [(9000, " ".join(f"{k}.{k % 300}.1.1 u{k}@h.org" for k in range(300))), (9001, "4111 1111 1111 1111 " * 40)]
+    found = sanitise.extract(texts(spark, rows)).withColumn("s", span_text("rule_spans", sanitise.KINDS, True)).collect()
+    assert all(r["s"] == plain_spans(r["text"]) for r in found)
+
+
+def test_rule_spans_of_very_long_texts(spark):
+    long = {1: "1" * 1_000_000, 2: "a@b" + ".c" * 300_000, 3: " ".join(str(k) for k in range(200_000)), 4: "a." * 500_000, 5: "u@h.org " * 20_000, 6: "1.2" * 300_000}
+    sizes = {r["doc_id"]: r["n"] for r in sanitise.extract(texts(spark, list(long.items()))).selectExpr("doc_id", "size(rule_spans) n").collect()}
+    assert sizes == {1: 0, 2: 1, 3: 0, 4: 0, 5: 20_000, 6: sum(all(int(p) <= 255 for p in m.group().split(".")) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", long[6]))}
+
+
 def revealing(spark, rows):
     found = sanitise.find_personal_data(texts(spark, rows + [(1000 + i, f"plain prose{i} without any") for i in range(60)]))
     return {r["doc_id"]: sorted(x["hit"] for x in r["pii_spans"] if x["kind"] == "term") for r in found.collect()}
@@ -214,6 +267,34 @@ def test_packing_looks_up_all_terms_of_a_seed():
     assert index.neighbours(0, 1) == [2]
 
 
+def test_packing_goes_on_with_the_ranking_of_the_windows_first_document():
+    rng = np.random.default_rng(2)
+    rows = [np.r_[np.arange(20), rng.integers(1000, 5000, 3)] for _ in range(120)] + [rng.integers(6000, 9000, 23) for _ in range(30)]
+    index = packing.Shard(rows, 10_000, np.ones(10_000), 23.0)
+    order = list(dict.fromkeys(row for row, *_ in index.pieces(4096)))
+    # brute force: documents by falling BM25 score against the first one, equal ones by place
+    first, mean = set(rows[0].tolist()), 23.0
+    def score(r):  # noqa: E306
+        ids, tf = np.unique(r, return_counts=True)
+        norm = packing.K1 * (1 - packing.B + packing.B * len(r) / mean)
+        return sum(f * (packing.K1 + 1) / (f + norm) for i, f in zip(ids.tolist(), tf.tolist(), strict=True) if i in first)
+    want = sorted(range(1, 120), key=lambda i: (-round(score(rows[i]), 9), i))
+    assert [round(score(rows[i]), 6) for i in order[1:120]] == [round(score(rows[i]), 6) for i in want] and set(order[:120]) == set(range(120))
+
+
+def test_warc_logs_gaps(spark, tmp_path):
+    body = b"p" * 500
+    member = lambda i: (lambda z: z.compress(warc.record(i, "u", body, hashlib.sha256(body).hexdigest(), None)) + z.flush())(zlib.compressobj(1, zlib.DEFLATED, 31))
+    data = member(1) + b"junk bytes" + member(2) + member(3)[:-20]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(data)
+    found = warc.read_archives(spark, str(tmp_path / "a"))
+    warc.log_gaps(found, str(tmp_path / "gaps"))
+    gaps = spark.read.parquet(str(tmp_path / "gaps")).orderBy("at").collect()
+    assert [(r["at"], r["size"]) for r in gaps] == [(len(member(1)), 10), (len(data) - len(member(3)) + 20, len(member(3)) - 20)]
+    assert {r["record_id"] for r in found.where("kind = 'record' and record_id < '<urn:page:3'").collect()} == {"<urn:page:1>", "<urn:page:2>"}
+
+
 def test_warc_salvage_inside_members():
     def whole(bodies):
         return b"".join(warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), None) for i, b in enumerate(bodies))

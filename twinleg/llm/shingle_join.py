@@ -1,14 +1,15 @@
 """N-gram Jaccard self-join by prefix filters under several global token orders.
 
-A document is the set of its hashed word shingles.  Under any global order of the shingles, two sets with Jaccard similarity of
-at least t share one of their first ``n - ceil(t * n) + 1`` shingles.  Every order here puts shingles that many documents hold
-last, in classes of their frequency, and breaks ties by a hash of its own.  The first order's prefixes are joined; a candidate
-must also share prefix shingles under every other order, and the parity masks of the sets must allow the similarity, before the
-texts are fetched and the sets verified exactly.
-
-Equal sets are one node.  In a block (the nodes with one prefix shingle) two nodes are hubs, others in each round.  First, in a
-few rounds, every node is paired with the hub of another component that it meets most often, which is linear; then, where a block still spans several components, pairs across its components are
-candidates.  Pairs within a component need no check, so a group of copies is never expanded into all its pairs.
+A document is the set of its hashed word shingles; documents of equal sets are one node.  Under any global order of the
+shingles, two sets with Jaccard similarity of at least t share one of their first ``n - ceil(t * n) + 1`` shingles.  Every order
+here puts shingles that many documents hold last, in classes of their frequency, and breaks ties by a hash of its own.
+
+The nodes that hold one prefix shingle are a block; blocks of the same nodes are one.  Nodes of the first order's blocks are
+kept with their sets, and blocked again under the other orders.  A candidate pair shares a block under every order, and its
+sizes and parity masks leave room for the similarity; then the sets are verified exactly.  First, in a few rounds, every node
+asks the hubs of its blocks, at most one of them, which is linear; then, where a block still spans several components, tasks
+of bounded slabs compare across its components and give only the pairs that pass every filter.  Pairs within a component need
+no check, so a group of copies is never expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mixed, powers
-from .common import connected_components, small, written
+from .common import connected_components, discard, schema_with, small, written
 
-#: Orders, largest size of the table of frequent shingles, and documents that make a shingle frequent at first,
-#: and rounds of hubs.
-ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS = 3, 400_000, 16, 2
+#: Orders, largest size of the table of frequent shingles, documents that make a shingle frequent, rounds of hubs, nodes of a
+#: small block and of a slab, and posts of a frequent shingle that are dealt together.
+ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FEW, SLAB, CELL = 3, 400_000, 16, 2, 16, 2048, 1 << 16
 CHUNK = 1 << 21
 #: Names of the parts of a set's parity mask: 512 bits, each flipped by the shingles that fall on it.
 PARITY = [f"k{i}" for i in range(8)]
 GOLD = 0x9E3779B97F4A7C15
+#: A node: the smallest doc_id of its set, and the first half of the set's signature.
+NODE = "struct<d:bigint,s:bigint>"
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLD))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,38 +82,57 @@ def _sets(batches, n: int):
             i = j
 
 
-def signature(s: np.ndarray) -> int:
-    """A hash of the set; 0 for the empty one."""
-    if not len(s):
-        return 0
-    h = int(mixed(np.array([int(s.sum(dtype=np.uint64)) ^ int(np.bitwise_xor.reduce(mixed(s + np.uint64(GOLD))))], np.uint64) + np.uint64(len(s)))[0])
-    return (h >> 1) or 1
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set; both 0 for the empty one."""
+    out = np.zeros((2, len(sets)), np.uint64)
+    for i, s in enumerate(sets):
+        if len(s):
+            other = mixed(s + np.uint64(GOLD))
+            pair = np.array([s.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(other), other.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(mixed(other))], np.uint64)
+            out[:, i] = np.maximum(mixed(pair + np.uint64(len(s))), np.uint64(1))
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def masks(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity mask of each set: bit b tells whether an odd number of its shingles falls on b."""
+    return np.stack([np.packbits(np.bincount((mixed(s) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64) for s in sets])
 
 
 def _describe(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n, sig) of the documents, and rows (token, times) of shingles that a task met more than once."""
+    """Rows (doc_id, n, s1, s2, mask) of the documents, and rows (token, times) of shingles that a task met more than once."""
+    names = ["doc_id", "n", "s1", "s2", *PARITY, "token", "times"]
 
     def run(batches):
         seen: dict[int, int] = {}
+
+        def counted():
+            none = pa.nulls(len(seen), pa.int64())
+            return pa.RecordBatch.from_arrays([none] * 12 + [pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=names)
+
         for ids, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([signature(s) for s in sets], pa.int64()), "token": pa.nulls(len(ids), pa.int64()), "times": pa.nulls(len(ids), pa.int64())})
+            s1, s2 = signatures(sets)
+            none, odd = pa.nulls(len(ids), pa.int64()), masks(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), *(pa.array(odd[:, k]) for k in range(8)), none, none], names=names)
             # sets that are equal count once in a chunk
-            different = list({signature(s): s for s in sets}.values())
+            different = list({(int(x), int(y)): s for x, y, s in zip(s1, s2, sets, strict=True)}.values())
             flat = np.sort(np.concatenate(different))
             if len(flat):
                 first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
                 times = np.diff(np.r_[first, len(flat)])
                 often = times > 1
-                for t, k in zip(flat[first[often]].astype(np.int64).tolist(), times[often].tolist(), strict=True):
+                for t, k in zip(flat[first[often]].view(np.int64).tolist(), times[often].tolist(), strict=True):
                     seen[t] = seen.get(t, 0) + k
+            if len(seen) > 1 << 18:
+                yield counted()
+                seen = {}
         if seen:
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(seen), pa.int64()), "n": pa.nulls(len(seen), pa.int64()), "sig": pa.nulls(len(seen), pa.int64()), "token": pa.array(seen.keys(), pa.int64()), "times": pa.array(seen.values(), pa.int64())})
+            yield counted()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, token long, times long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles and the class (base-2 logarithm) of their count: at most FREQUENT_ROWS, whatever the input."""
+    """The most frequent shingles, sorted, and their counts: at most FREQUENT_ROWS, whatever the input."""
     counts = written(described.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(f"times >= {FREQUENT}"), "frequent")
     sizes = {r["c"]: r["n"] for r in counts.groupBy(F.floor(F.log2("times")).cast("int").alias("c")).agg(F.count("*").alias("n")).collect()}
     least, total = 64, 0
@@ -119,9 +141,9 @@ def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         total, least = total + sizes[c], c
     rows = counts.where(F.floor(F.log2("times")) >= least).toPandas()
-    token, times = rows["token"].to_numpy(np.int64).astype(np.uint64), rows["times"].to_numpy(np.float64)
+    token, times = rows["token"].to_numpy(np.int64).view(np.uint64), rows["times"].to_numpy(np.int64)
     order = np.argsort(token)
-    return token[order], np.floor(np.log2(np.maximum(times[order], 1))).astype(np.int64)
+    return token[order], times[order]
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -129,27 +151,87 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n + (-n * num // den) + 1
 
 
-def _prefixes(docs: DataFrame, n: int, num: int, den: int, token: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig, p0, p1, ...): the prefix of every document under each order, as 32-bit tokens in the order's sequence."""
-    names = [f"p{k}" for k in range(ORDERS)]
+class Orders:
+    """The global orders of shingles: classes of frequency (base-2 logarithm), then a hash for each order."""
+
+    def __init__(self, token: np.ndarray, times: np.ndarray, num: int, den: int):
+        self.token, self.times, self.num, self.den = token, times, num, den
+
+    def count(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.token):
+            return np.zeros(len(s), np.int64)
+        spot = np.minimum(np.searchsorted(self.token, s), len(self.token) - 1)
+        return np.where(self.token[spot] == s, self.times[spot], 0)
+
+    def prefix(self, s: np.ndarray, times: np.ndarray, k: int) -> np.ndarray:
+        """Places in ``s`` of its prefix under order ``k``."""
+        rank = np.where(times > 0, np.floor(np.log2(np.maximum(times, 1))), 0).astype(np.uint64)
+        h = mixed(s ^ np.uint64((k + 1) * GOLD & (1 << 64) - 1)) >> np.uint64(8)  # 56 bits
+        p = prefix_size(len(s), self.num, self.den)
+        key = h | rank << np.uint64(57)
+        return np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+
+
+def _posts(docs: DataFrame, n: int, orders: Orders) -> DataFrame:
+    """(token, cell, s1): the first order's prefix shingles of every set, once for each set and task (as far as it recalls).
+
+    The posts of a frequent shingle are dealt into cells from 1 on, each of about CELL posts; other shingles have cell 0.
+    """
+
+    def run(batches):
+        known: set[tuple[int, int]] = set()
+        for _, sets in _sets(batches, n):
+            s1, s2 = signatures(sets)
+            cols = [[], [], []]
+            for s, x, y in zip(sets, s1.tolist(), s2.tolist(), strict=True):
+                if not len(s) or (x, y) in known:
+                    continue
+                known.add((x, y))
+                times = orders.count(s)
+                at = orders.prefix(s, times, 0)
+                cells = times[at] // CELL
+                cols[0].append(s[at].view(np.int64))
+                cols[1].append(np.where(cells > 0, 1 + y % (cells + 1), 0).astype(np.int32))
+                cols[2].append(np.full(len(at), x))
+            if len(known) > 1 << 18:
+                known.clear()
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["token", "cell", "s1"])
+
+    return docs.mapInArrow(run, "token long, cell int, s1 long")
+
+
+def _blocks(posts: DataFrame, key: list[str]) -> DataFrame:
+    """(block, *key) of the shingles that several nodes hold, those with the same nodes once.  ``posts``: token and key, no repeats."""
+    kinds = posts.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64(*key).cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *key)).alias("y"))
+    chosen = written(kinds.where("size > 1").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token"), "chosen")
+    return posts.join(small(chosen), "token").withColumnRenamed("token", "block")
+
+
+def _held(docs: DataFrame, wanted: DataFrame, n: int, orders: Orders) -> DataFrame:
+    """The wanted nodes (d, s1, s2) with their sets and prefixes under the other orders."""
+    names = [f"p{k}" for k in range(1, ORDERS)]
+    rows = docs.join(small(wanted), docs["doc_id"] == wanted["d"]).select("d", "text", "s1", "s2")
 
     def run(batches):
-        for ids, sets in _sets(batches, n):
-            cols = [[] for _ in names]
-            odd = np.stack([np.packbits(np.bincount((mixed(s) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64) for s in sets])
-            for s in sets:
-                kind = np.zeros(len(s), np.int64)
-                if len(token) and len(s):
-                    spot = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                    kind = np.where(token[spot] == s, rank[spot], 0)
-                p = prefix_size(len(s), num, den)
-                for k, col in enumerate(cols):
-                    h = mixed(s ^ np.uint64((k + 1) * GOLD & (1 << 64) - 1)) >> np.uint64(8)  # 56 bits
-                    order = np.argsort(h | np.minimum(kind, 15).astype(np.uint64) << np.uint64(57))[:p]
-                    col.append((h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in cols), *(pa.array(odd[:, k]) for k in range(8))], names=["doc_id", "n", "sig", *names, *PARITY])
-
-    return docs.mapInArrow(run, f"doc_id long, n long, sig long, {', '.join([f'{p} array<int>' for p in names] + [f'{k} long' for k in PARITY])}")
+        for b in batches:
+            start = 0
+            for ids, sets in _sets([b.select(["d", "text"])], n):
+                own = b.slice(start, len(ids))
+                start += len(ids)
+                s1, s2 = signatures(sets)
+                # other rows of the same doc_id
+                fits = (s1 == own.column(2).to_numpy()) & (s2 == own.column(3).to_numpy())
+                keep = np.flatnonzero(fits)
+                if not len(keep):
+                    continue
+                sets = [sets[i] for i in keep]
+                times = [orders.count(s) for s in sets]
+                node = pa.StructArray.from_arrays([own.column(0).take(pa.array(keep)).cast(pa.int64()), pa.array(s1[keep])], names=["d", "s"])
+                prefixes = [pa.array([s[orders.prefix(s, t, k)].view(np.int64) for s, t in zip(sets, times, strict=True)], pa.list_(pa.int64())) for k in range(1, ORDERS)]
+                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary()), *prefixes], names=["node", "shingles", *names])
+
+    return rows.mapInArrow(run, f"node {NODE}, shingles binary, {', '.join(f'{p} array<bigint>' for p in names)}")
 
 
 def _close(a: str, b: str, n: str, m: str, num: int, den: int) -> str:
@@ -159,36 +241,137 @@ def _close(a: str, b: str, n: str, m: str, num: int, den: int) -> str:
     return f"least({n}, {m}) * {den} >= greatest({n}, {m}) * {num} and ({bits}) * {den + num} <= ({n} + {m}) * {den - num}"
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (a, b) of nodes those that are similar: other orders' prefixes first, then exact sets."""
-    others = [f"p{k}" for k in range(1, ORDERS)]
-    pairs = written(pairs.distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
-    ends = written(ends, "ends")
-    held = written(nodes.join(small(ends), "sig", "left_semi").select("sig", "doc_id", "n", *others, *PARITY), "held")
-    for end in "ab":
-        pairs = pairs.join(small(held.select(F.col("sig").alias(end), F.col("n").alias("n" + end), *(F.col(p).alias(p + end) for p in others), *(F.col(k).alias(end + k) for k in PARITY)), 20_000), end)
-    pairs = pairs.where(_close("a", "b", "na", "nb", num, den))
-    for p in others:
-        pairs = pairs.where(F.arrays_overlap(p + "a", p + "b"))
-    pairs = written(pairs.select("a", "b"), "pairs")
-    # texts of the remaining nodes' documents: one for each node
-    ends = written(pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct(), "ends")
-    wanted = written(held.join(small(ends), "sig", "left_semi").select("sig", "doc_id"), "wanted")
-    texts = written(docs.join(small(wanted.select("doc_id", "sig")), "doc_id").groupBy("sig").agg(F.first("text").alias("text")), "texts")
+def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the candidate pairs (a, b) of nodes those that are similar, by their exact sets; a written table."""
 
     def run(batches):
         for b in batches:
-            a_sets = (s for _, sets in _sets([b.select(["a", "ta"])], n) for s in sets)
-            b_sets = (s for _, sets in _sets([b.select(["b", "tb"])], n) for s in sets)
             keep = []
-            for x, y in zip(a_sets, b_sets, strict=True):
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    for end in "ab":
+        pairs = pairs.join(held.select(F.col("node").alias(end), F.col("shingles").alias("t" + end)).hint("merge"), end)
+    return written(pairs.select("a", "b", "ta", "tb").mapInArrow(run, f"a {NODE}, b {NODE}"), "links")
+
+
+def across(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one block's slabs x and y the pairs of different components whose sizes and masks leave room for the similarity.
+
+    Of the commonest component only the pairs with others are tried.
+    """
+    x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
+    table = table.combine_chunks()
+    own, n, label = (table.column(c).to_numpy() for c in ("own", "n", "label"))
+    a, b = [], []
+    _, label = np.unique(label, return_inverse=True)
+    common = np.bincount(label).argmax()
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    if x == y:
+        left = left[label[left] != common]
+    if len(left) and len(right):
+        mask = np.stack([table.column(k).to_numpy() for k in PARITY], 1).view(np.uint64)
+        for i in left.tolist():
+            j = right[label[right] != label[i]]
+            if x == y:
+                j = j[(j > i) | (label[j] == common)]
+            j = j[np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num]
+            bits = np.bitwise_count(mask[j] ^ mask[i]).sum(1, dtype=np.int64)
+            j = j[bits * (den + num) <= (n[i] + n[j]) * (den - num)]
+            a += [i] * len(j)
+            b += j.tolist()
+    node = table.column("node").combine_chunks()
+    return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+
+
+def _meet(rows: DataFrame, num: int, den: int, test: str = "true") -> DataFrame:
+    """Pairs (a, b) of the nodes of each small block whose sizes and masks leave room for the similarity."""
+    apart = [c for c in ("c",) if c in rows.columns]
+    right = rows.select("block", F.col("node").alias("b"), F.col("n").alias("m"), *(F.col(c).alias("d") for c in apart), *(F.col(k).alias("h" + k) for k in PARITY))
+    left = rows.select(F.col("block").alias("own"), F.col("node").alias("a"), "n", *apart, *PARITY)
+    return left.hint("merge").join(right, F.expr(f"own = block and a < b and {test} and {_close('', 'h', 'n', 'm', num, den)}")).select("a", "b")
+
+
+def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, orders: Orders) -> DataFrame:
+    """(s1, s2, component): the sets that link with others, and the smallest doc_id that they reach; a written table."""
+    # written first, so that both uses share one exchange and the sets are made once
+    dealt = written(_posts(docs, n, orders), "dealt").repartition("token", "cell")
+    open_ = dealt.groupBy("token", "cell").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("cell > 0 or lo <> hi").select("token", "cell")
+    seen = written(dealt.join(open_.hint("shuffle_hash"), ["token", "cell"], "left_semi").select("token", "s1").distinct(), "posts")
+    # two sets of one s1 both stand in its blocks
+    made = first.select(F.struct(F.col("doc_id").alias("d"), F.col("s1").alias("s")).alias("node"), "s1", "s2", "n", *PARITY)
+    marked = written(_blocks(seen, ["s1"]).join(made.hint("merge"), "s1"), "marked")
+    size = written(marked.groupBy("block").agg(F.count("*").alias("size")), "sizes")
+    # most blocks are chance: only nodes with a partner whose size and mask leave room, or of large blocks, are wanted
+    ends = _meet(marked.join(small(size.where(f"size <= {FEW}").select("block")), "block"), num, den)
+    alive = ends.select(F.col("a").alias("node")).unionAll(ends.select(F.col("b").alias("node"))).unionAll(marked.join(small(size.where(f"size > {FEW}").select("block")), "block").select("node"))
+    alive = written(alive.distinct(), "alive")
+    wanted = written(made.select("node", "s1", "s2", F.col("node.d").alias("d")).join(small(alive), "node").select("d", "s1", "s2"), "wanted")
+    held = written(_held(docs, wanted, n, orders).dropDuplicates(["node"]), "held")
+    # the blocks of the other orders; only nodes that have some under each can link
+    nodes = alive
+    for k in range(1, ORDERS):
+        blocks = _blocks(held.select("node", F.explode(f"p{k}").alias("token")), ["node"])
+        nodes = nodes.join(blocks.groupBy("node").agg(F.collect_list("block").alias(f"o{k}")).hint("merge"), "node")
+    nodes = written(nodes, "nodes")
+    rows = written(marked.select("block", "node", "n", *PARITY).join(small(written(nodes.select("node"), "ids")), "node").withColumn("c", F.col("node")), "blocks")
+
+    def shared(pairs: DataFrame) -> DataFrame:
+        """Of pairs that share a block of the first order those that share one of every other order."""
+        for end in "ab":
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(f"o{k}").alias(f"{end}{k}") for k in range(1, ORDERS))).hint("merge"), end)
+        return pairs.where(" and ".join(f"arrays_overlap(a{k}, b{k})" for k in range(1, ORDERS))).select("a", "b")
+
+    links = docs.sparkSession.createDataFrame([], f"a {NODE}, b {NODE}")
+    tried = links
+    for turn in range(HUB_ROUNDS + 1):
+        # blocks that still span several components
+        payload = F.struct(F.col("node").alias("hub"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(k).alias("h" + k) for k in PARITY))
+        span = rows.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min_by(payload, F.xxhash64("node", F.lit(turn))).alias("h")).where("lo < hi")
+        span = written(span.select("block", "size", "h.*"), "open")
+        if turn == HUB_ROUNDS:
+            break
+        near = rows.join(small(span), "block").where(f"c <> d and {_close('', 'h', 'n', 'm', num, den)}")
+        apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col("h" + k))) for k in PARITY), F.lit(0))
+        stars = near.groupBy("node").agg(F.min_by("hub", F.struct(apart, F.col("hub"))).alias("hub"))
+        stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        stars = written(stars.join(tried.hint("merge"), ["a", "b"], "left_anti"), "stars")
+        tried, links = tried.unionAll(stars), links.unionAll(_verified(shared(stars), held, num, den))
+        label = connected_components(links)
+        before, rows = rows, rows.drop("c").join(small(label), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        rows = written(rows, "blocks")
+        discard(before, span, label)
+    # blocks of few nodes are joined with themselves, larger ones cut into slabs of bounded size, every two of which meet once
+    pairs = _meet(rows.join(small(span.where(f"size <= {FEW}").select("block")), "block"), num, den, "c <> d")
+    left = rows.join(small(span.where(f"size > {FEW}").select("block", F.expr(f"int(ceil(size / {SLAB}))").alias("slabs"))), "block")
+    left = left.withColumn("own", F.expr("int(pmod(xxhash64(node), slabs))")).withColumn("other", F.explode(F.expr("sequence(0, slabs - 1)")))
+    left = left.select("block", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", F.xxhash64("c").alias("label"), *PARITY)
+    met = left.groupBy("block", "x", "y").applyInArrow(lambda t: across(t, num, den), f"a {NODE}, b {NODE}")
+    pairs = pairs.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = written(pairs.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    found = connected_components(links.unionAll(_verified(shared(pairs), held, num, den)))
+    out = found.join(made.select("node", "s1", "s2").hint("merge"), "node").select("s1", "s2", F.col("component.d").alias("component"))
+    out = written(out, "linked")
+    discard(seen, marked, size, alive, wanted, held, nodes, rows, span, pairs, found)
+    return out
+
+
+def _grouped(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2, component_id) for every row of ``docs`` (doc_id, text)."""
+    num, den = similarity
+    described = written(_describe(docs, n), "sets")
+    sets = described.where("s1 is not null").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2", *PARITY)
+    own = sets.drop(*PARITY)
+    orders = Orders(*frequent_shingles(described), num, den)
+    # one node for each different set, with its smallest document
+    first = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), *(F.first(k).alias(k) for k in PARITY)), "first")
+    linked = _linked(docs.where("doc_id is not null"), first, n, num, den, orders)
+    named = first.join(linked.hint("merge"), ["s1", "s2"], "left").where("rows > 1 or component is not null").select("s1", "s2", F.coalesce("component", "doc_id").alias("component"))
+    out = own.join(small(written(named, "persets")), ["s1", "s2"], "left")
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).drop("component")
 
 
 def join_documents(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -198,68 +381,43 @@ def join_documents(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
     included).  A-Z are lower-cased; words are what lies between \\x20 and \\x09-\\x0D; with fewer words than ``n`` the whole
     sequence is one shingle.  Null texts and texts without words have the empty set and link with nothing.  Rows that repeat a
     doc_id are kept; if their texts differ they count as different documents of that id.  A null doc_id links with nothing
-    (component_id null).  Other columns are left out; no rows give no rows.
+    (component_id null).  Other columns are left out; no rows give no rows.  A task holds one text and its set at a time beside
+    a chunk of CHUNK code points, so memory follows the longest text (about 60 bytes a code point).
     """
-    num, den = similarity
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = written(_describe(docs, n), "sets")
-    own = described.where("sig is not null").select("doc_id", F.col("n").alias("n_shingles"), "sig")
-    token, rank = frequent_shingles(described)
-    prefixed = _prefixes(docs.where("doc_id is not null"), n, num, den, token, rank).where("sig <> 0")
-    # one node for each different set, with its smallest document
-    first = written(own.where("sig <> 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "first")
-    nodes = written(prefixed.join(small(first), ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"]), "nodes")
-    # dealt by shingle once: the blocks' aggregation and join use the same exchange
-    posts = nodes.select("sig", "n", F.posexplode("p0").alias("pos", "token")).repartition("token")
-    blocks = posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    seen = written(posts.join(blocks.hint("shuffle_hash"), "token").withColumn("c", F.col("sig")), "posts")
-    near = f"least(n, m) * {den} >= greatest(n, m) * {num}"
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    tried, masks = links, nodes.select("sig", "n", *PARITY)
-    for turn in range(HUB_ROUNDS + 1):
-        # blocks that still span several components
-        open_ = written(seen.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), *(F.min_by(F.struct("sig", F.col("c").alias("d"), F.col("n").alias("m")), F.xxhash64("sig", F.lit(turn + 100 * k))).alias(f"hub{k}") for k in (0, 1))).where("x < y"), "open")
-        seen = seen.join(small(open_.select("token")), "token", "left_semi")
-        if turn == HUB_ROUNDS:
-            break
-        # of the hubs of other components that a node meets in its blocks, the one that it meets most often
-        hubs = seen.join(open_.select("token", F.explode(F.array("hub0", "hub1")).alias("hub")).hint("merge"), "token").select("sig", "c", "n", F.col("hub.sig").alias("hub"), F.col("hub.d").alias("d"), F.col("hub.m").alias("m"))
-        hubs = written(hubs.where("c <> d").where(near).groupBy("sig", "hub").agg(F.count("*").alias("k")), "hubs")
-        for end, name in (("a", "sig"), ("b", "hub")):
-            hubs = hubs.join(masks.select(F.col("sig").alias(name), F.col("n").alias("n" + end), *(F.col(k).alias(end + k) for k in PARITY)).hint("merge"), name)
-        stars = hubs.where(_close("a", "b", "na", "nb", num, den)).groupBy("sig").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
-        stars = stars.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
-        stars = written(stars.join(tried.hint("merge"), ["a", "b"], "left_anti"), "stars")
-        tried = tried.unionAll(stars)
-        links = links.unionAll(written(_verified(stars, nodes, docs, n, num, den), "links"))
-        label = written(connected_components(links), "labels")
-        seen = seen.drop("c").join(small(label), F.col("sig") == F.col("node"), "left").select("token", "sig", "n", "pos", F.coalesce("component", "sig").alias("c"))
-        seen = written(seen, "seen")
-    # then pairs across the components of a block, which places, sizes and the second order allow
-    left = written(seen.join(nodes.select("sig", *PARITY).hint("merge"), "sig"), "left")
-    right = left.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("c").alias("d"), *(F.col(k).alias("b" + k) for k in PARITY))
-    # shared shingles are at most those before this place in both, this one, and what is left behind it
-    room = f"{den + num} * (least(pos, pos2) + least(n - pos, m - pos2)) >= {num} * (n + m)"
-    test = F.expr(f"a < b and c <> d and {room} and {_close('a', 'b', 'n', 'm', num, den)}")
-    left = left.select("n", "pos", "c", F.col("sig").alias("a"), F.col("token").alias("own"), *(F.col(k).alias("a" + k) for k in PARITY))
-    across = left.hint("merge").join(right, (F.col("own") == F.col("token")) & test).select("a", "b").distinct()
-    across = across.join(tried.hint("merge"), ["a", "b"], "left_anti")
-    links = links.unionAll(_verified(across, nodes, docs, n, num, den))
-    found = written(connected_components(links), "found")
-    # the smallest document of each component, over all documents of its nodes
-    named = found.join(first.withColumnRenamed("sig", "node").hint("merge"), "node")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("least")).join(found.hint("merge"), "component").select(F.col("node").alias("sig"), "least")
-    per_set = first.join(least.hint("merge"), "sig", "left").select("sig", F.coalesce("least", "doc_id").alias("component_id"))
-    per_set = written(per_set, "persets")
-    out = own.join(small(per_set), "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sig") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), None).otherwise(F.col("component_id")).alias("component_id"))
+    return _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, similarity).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """``docs`` without near-duplicates: of each linked group the row of the smallest doc_id stays, of repeated rows one.
+    """``docs`` without near-duplicates: of each linked group the document of the smallest doc_id stays.
 
-    Rows with a null doc_id all stay.
+    Rows of the same doc_id and the same shingles are one document, and the one of smallest hash over all columns stays; rows
+    of the same doc_id with other shingles are judged for themselves, and all that share a group's smallest doc_id stay.
+    Documents without shingles and rows with a null doc_id all stay.
     """
-    groups = written(join_documents(docs, n, similarity).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(small(groups), "doc_id", "left_anti").unionByName(docs.where("doc_id is null"))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = written(_grouped(thin, n, similarity).where("n_shingles > 0 and doc_id is not null").select("doc_id", "s1", "s2", "component_id"), "groups")
+    away = written(groups.where("doc_id <> component_id").select("doc_id", "s1", "s2").distinct(), "dropped")
+    again = written(groups.where("doc_id = component_id").groupBy("doc_id", "s1", "s2").count().where("count > 1").drop("count"), "again")
+    clear = [c for c in docs.columns if c not in ("set_1", "set_2")]
+    docs = docs.select(*clear)
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            s1, s2 = [], []
+            for _, sets in _sets([pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(at)], names=["doc_id", "text"])], n):
+                x, y = signatures(sets)
+                s1.append(x)
+                s2.append(y)
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(s1)), pa.array(np.concatenate(s2))], names=[*b.schema.names, "set_1", "set_2"])
+
+    marked = docs.mapInArrow(run, schema_with(docs, set_1="long", set_2="long"))
+    ids = lambda t: small(t.select(F.col("doc_id").alias("of_id"), "s1", "s2"))
+    on = (F.col("doc_id").cast("long") == F.col("of_id")) & (F.col("set_1") == F.col("s1")) & (F.col("set_2") == F.col("s2"))
+    kept = marked.join(ids(away), on, "left_anti")
+    if again.isEmpty():
+        return kept.select(*clear)
+    repeated = kept.join(ids(again), on, "left_semi")
+    one = repeated.groupBy("doc_id", "set_1", "set_2").agg(F.min_by(F.struct(*clear), F.xxhash64(*clear)).alias("row")).select("row.*")
+    return kept.join(ids(again), on, "left_anti").select(*clear).unionByName(one)
