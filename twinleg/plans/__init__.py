@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import ledger, panel, records, trades
+from . import ledger, panel, records, risk, trades
 
 
 def queries() -> dict:
-    return panel.QUERIES | ledger.QUERIES | records.QUERIES | trades.QUERIES
+    return panel.QUERIES | ledger.QUERIES | records.QUERIES | risk.QUERIES | trades.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return panel.ORACLES | ledger.ORACLES | records.ORACLES | trades.ORACLES
+    return panel.ORACLES | ledger.ORACLES | records.ORACLES | risk.ORACLES | trades.ORACLES
