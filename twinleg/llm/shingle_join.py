@@ -24,7 +24,7 @@ from .common import connected_components, discard, schema_with, small, written
 
 #: Orders, largest size of the table of frequent shingles, documents that make a shingle frequent, rounds of hubs, nodes of a
 #: small block and of a slab, and posts of a frequent shingle that are dealt together.
-ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FEW, SLAB, CELL = 3, 400_000, 16, 2, 16, 2048, 1 << 16
+ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FEW, SLAB, CELL = 3, 400_000, 16, 2, 32, 2048, 1 << 16
 CHUNK = 1 << 21
 #: Names of the parts of a set's parity mask: 512 bits, each flipped by the shingles that fall on it.
 PARITY = [f"k{i}" for i in range(8)]
@@ -287,6 +287,32 @@ def across(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
 
+def partnered(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one block's slabs x and y the nodes that have a partner there whose size and mask leave room for the similarity."""
+    x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
+    table = table.combine_chunks()
+    own, n = table.column("own").to_numpy(), table.column("n").to_numpy()
+    mask = np.stack([table.column(k).to_numpy() for k in PARITY], 1).view(np.uint64)
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    found = np.zeros(len(n), bool)
+    for here, there in ((left, right), (right, left)) if x != y else ((left, right),):
+        for i in here.tolist():
+            if not found[i]:
+                j = there[(np.minimum(n[there], n[i]) * den >= np.maximum(n[there], n[i]) * num) & (there != i)]
+                bits = np.bitwise_count(mask[j] ^ mask[i]).sum(1, dtype=np.int64)
+                j = j[bits * (den + num) <= (n[i] + n[j]) * (den - num)]
+                found[j] = True
+                found[i] = len(j) > 0
+    return pa.table({"node": table.column("node").combine_chunks().take(pa.array(np.flatnonzero(found)))})
+
+
+def _slabs(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """``rows`` of the large blocks dealt to (block, x, y): slabs of bounded size, every two of which meet once."""
+    wide = size.where(f"size > {FEW}").select("block", F.expr(f"int(ceil(size / {SLAB}))").alias("slabs"))
+    rows = rows.join(small(wide), "block").withColumn("own", F.expr("int(pmod(xxhash64(node), slabs))")).withColumn("other", F.explode(F.expr("sequence(0, slabs - 1)")))
+    return rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "slabs")
+
+
 def _meet(rows: DataFrame, num: int, den: int, test: str = "true") -> DataFrame:
     """Pairs (a, b) of the nodes of each small block whose sizes and masks leave room for the similarity."""
     apart = [c for c in ("c",) if c in rows.columns]
@@ -305,9 +331,10 @@ def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, order
     made = first.select(F.struct(F.col("doc_id").alias("d"), F.col("s1").alias("s")).alias("node"), "s1", "s2", "n", *PARITY)
     marked = written(_blocks(seen, ["s1"]).join(made.hint("merge"), "s1"), "marked")
     size = written(marked.groupBy("block").agg(F.count("*").alias("size")), "sizes")
-    # most blocks are chance: only nodes with a partner whose size and mask leave room, or of large blocks, are wanted
+    # most blocks are chance: only nodes with a partner whose size and mask leave room are wanted
     ends = _meet(marked.join(small(size.where(f"size <= {FEW}").select("block")), "block"), num, den)
-    alive = ends.select(F.col("a").alias("node")).unionAll(ends.select(F.col("b").alias("node"))).unionAll(marked.join(small(size.where(f"size > {FEW}").select("block")), "block").select("node"))
+    met = _slabs(marked.select("block", "node", "n", *PARITY), size).groupBy("block", "x", "y").applyInArrow(lambda t: partnered(t, num, den), f"node {NODE}")
+    alive = ends.select(F.col("a").alias("node")).unionAll(ends.select(F.col("b").alias("node"))).unionAll(met)
     alive = written(alive.distinct(), "alive")
     wanted = written(made.select("node", "s1", "s2", F.col("node.d").alias("d")).join(small(alive), "node").select("d", "s1", "s2"), "wanted")
     held = written(_held(docs, wanted, n, orders).dropDuplicates(["node"]), "held")
@@ -346,9 +373,7 @@ def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, order
         discard(before, span, label)
     # blocks of few nodes are joined with themselves, larger ones cut into slabs of bounded size, every two of which meet once
     pairs = _meet(rows.join(small(span.where(f"size <= {FEW}").select("block")), "block"), num, den, "c <> d")
-    left = rows.join(small(span.where(f"size > {FEW}").select("block", F.expr(f"int(ceil(size / {SLAB}))").alias("slabs"))), "block")
-    left = left.withColumn("own", F.expr("int(pmod(xxhash64(node), slabs))")).withColumn("other", F.explode(F.expr("sequence(0, slabs - 1)")))
-    left = left.select("block", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", F.xxhash64("c").alias("label"), *PARITY)
+    left = _slabs(rows.select("block", "node", "n", F.xxhash64("c").alias("label"), *PARITY), span)
     met = left.groupBy("block", "x", "y").applyInArrow(lambda t: across(t, num, den), f"a {NODE}, b {NODE}")
     pairs = pairs.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     pairs = written(pairs.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
