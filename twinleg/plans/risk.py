@@ -75,8 +75,8 @@ g AS (SELECT pair_id, abs(x - y) / CASE WHEN abs(y) > 0 THEN abs(y) ELSE 1 END g
 t AS (SELECT pair_id, count(gap) overlap, count(*) FILTER (gap > 0.1) mismatches, max(gap) worst FROM g GROUP BY 1)
 SELECT pair_id, overlap, mismatches, CASE WHEN mismatches > 0 THEN CASE WHEN mismatches / greatest(overlap, 1) > 0.9 THEN 'systematic' ELSE 'episodic' END || CASE WHEN worst > 0.5 THEN ',too_large' ELSE '' END
   || CASE WHEN worst > 0.001 AND worst < 0.05 THEN ',small_print' ELSE '' END ELSE '' END hints FROM t""")
-_regime = F.when(F.col("pair_id").isin("ASIA", "EUROPE"), "constrained").otherwise("fungible")
-_add("agg12_pooled_projection", lambda s, d: rounded(R.pooled_projection(panel(s, d), _regime, HORIZONS)),
+_regime = lambda: F.when(F.col("pair_id").isin("ASIA", "EUROPE"), "constrained").otherwise("fungible")
+_add("agg12_pooled_projection", lambda s, d: rounded(R.pooled_projection(panel(s, d), _regime(), HORIZONS)),
      """, x AS (SELECT pair_id, rn, CASE WHEN pair_id IN ('ASIA', 'EUROPE') THEN 'constrained' ELSE 'fungible' END regime, pi - avg(pi) OVER (PARTITION BY pair_id) x FROM panel),
 j AS (SELECT a.regime, h, a.x, b.x y FROM x a, (SELECT unnest(list_concat(range(1, 21), range(25, 251, 5))) h) k, x b WHERE a.pair_id = b.pair_id AND b.rn = a.rn + h),
 t AS (SELECT regime, h, count(*) n, covar_pop(x, y) * count(*) sxy, var_pop(x) * count(*) sxx, grouping(regime) pooled FROM j GROUP BY GROUPING SETS ((regime, h), (h))),
