@@ -42,10 +42,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made and that nothing reads any more (what came of them is written itself)."""
+    """Delete tables that ``written`` made and that nothing reads any more (what came of them is written itself).
+
+    Shuffle files go when the driver collects the plans that made them, so it is asked to collect now.
+    """
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def _width(column: Column, kind: DataType) -> Column:

@@ -28,6 +28,8 @@ ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FEW, SLAB, CELL = 3, 400_000, 16, 2
 CHUNK = 1 << 21
 #: Names of the parts of a set's parity mask: 512 bits, each flipped by the shingles that fall on it.
 PARITY = [f"k{i}" for i in range(8)]
+#: Bits of the mask that candidates pass before their sets are fetched: long sets fill 512 bits, and are the costly ones.
+WIDE = 4096
 GOLD = 0x9E3779B97F4A7C15
 #: A node: the smallest doc_id of its set, and the first half of the set's signature.
 NODE = "struct<d:bigint,s:bigint>"
@@ -93,9 +95,10 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def masks(sets: list[np.ndarray]) -> np.ndarray:
-    """The parity mask of each set: bit b tells whether an odd number of its shingles falls on b."""
-    return np.stack([np.packbits(np.bincount((mixed(s) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64) for s in sets])
+def masks(sets: list[np.ndarray], bits: int = 512) -> np.ndarray:
+    """The parity mask of each set: bit b of ``bits`` (a power of two) tells whether an odd number of its shingles falls on b."""
+    shift = np.uint64(65 - bits.bit_length())
+    return np.stack([np.packbits(np.bincount((mixed(s) >> shift).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64) for s in sets])
 
 
 def _describe(docs: DataFrame, n: int) -> DataFrame:
@@ -209,7 +212,7 @@ def _blocks(posts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _held(docs: DataFrame, wanted: DataFrame, n: int, orders: Orders) -> DataFrame:
-    """The wanted nodes (d, s1, s2) with their sets and prefixes under the other orders."""
+    """The wanted nodes (d, s1, s2) with their sets, wide masks and prefixes under the other orders, once for each of their rows."""
     names = [f"p{k}" for k in range(1, ORDERS)]
     rows = docs.join(small(wanted), docs["doc_id"] == wanted["d"]).select("d", "text", "s1", "s2")
 
@@ -229,9 +232,10 @@ def _held(docs: DataFrame, wanted: DataFrame, n: int, orders: Orders) -> DataFra
                 times = [orders.count(s) for s in sets]
                 node = pa.StructArray.from_arrays([own.column(0).take(pa.array(keep)).cast(pa.int64()), pa.array(s1[keep])], names=["d", "s"])
                 prefixes = [pa.array([s[orders.prefix(s, t, k)].view(np.int64) for s, t in zip(sets, times, strict=True)], pa.list_(pa.int64())) for k in range(1, ORDERS)]
-                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary()), *prefixes], names=["node", "shingles", *names])
+                sizes, wide = pa.array([len(s) for s in sets], pa.int64()), pa.array([m.tobytes() for m in masks(sets, WIDE)], pa.binary())
+                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary()), sizes, wide, *prefixes], names=["node", "shingles", "n", "wide", *names])
 
-    return rows.mapInArrow(run, f"node {NODE}, shingles binary, {', '.join(f'{p} array<bigint>' for p in names)}")
+    return rows.mapInArrow(run, f"node {NODE}, shingles binary, n long, wide binary, {', '.join(f'{p} array<bigint>' for p in names)}")
 
 
 def _close(a: str, b: str, n: str, m: str, num: int, den: int) -> str:
@@ -242,20 +246,39 @@ def _close(a: str, b: str, n: str, m: str, num: int, den: int) -> str:
 
 
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (a, b) of nodes those that are similar, by their exact sets; a written table."""
+    """Of the candidate pairs (a, b) of nodes those that are similar, by their exact sets; a written table.
 
-    def run(batches):
+    Wide masks are compared first, and sets are shuffled only for nodes of pairs that pass.
+    """
+
+    def near(batches):
+        for b in batches:
+            if b.num_rows:
+                wide = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("va", "vb")]
+                bits = np.bitwise_count(wide[0] ^ wide[1]).sum(1, dtype=np.int64)
+                keep = bits * (den + num) <= (b.column("na").to_numpy() + b.column("nb").to_numpy()) * (den - num)
+                yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    def exact(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for x, y in zip(b.column("va"), b.column("vb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    for end in "ab":
-        pairs = pairs.join(held.select(F.col("node").alias(end), F.col("shingles").alias("t" + end)).hint("merge"), end)
-    return written(pairs.select("a", "b", "ta", "tb").mapInArrow(run, f"a {NODE}, b {NODE}"), "links")
+    def joined(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
+        for end in "ab":
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col(value).alias("v" + end), F.col("n").alias("n" + end)).hint("merge"), end)
+        return pairs.select("a", "b", "va", "vb", "na", "nb")
+
+    schema = f"a {NODE}, b {NODE}"
+    close = written(joined(pairs, held, "wide").mapInArrow(near, schema), "close")
+    ends = written(close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).distinct(), "ends")
+    out = written(joined(close, held.join(small(ends), "node", "left_semi"), "shingles").mapInArrow(exact, schema), "links")
+    discard(close, ends)
+    return out
 
 
 def across(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -316,17 +339,23 @@ def _slabs(rows: DataFrame, size: DataFrame) -> DataFrame:
 def _meet(rows: DataFrame, num: int, den: int, test: str = "true") -> DataFrame:
     """Pairs (a, b) of the nodes of each small block whose sizes and masks leave room for the similarity."""
     apart = [c for c in ("c",) if c in rows.columns]
+    rows = rows.select("block", "node", "n", *apart, *PARITY).where("block is not null and node is not null").repartition("block")
     right = rows.select("block", F.col("node").alias("b"), F.col("n").alias("m"), *(F.col(c).alias("d") for c in apart), *(F.col(k).alias("h" + k) for k in PARITY))
     left = rows.select(F.col("block").alias("own"), F.col("node").alias("a"), "n", *apart, *PARITY)
     return left.hint("merge").join(right, F.expr(f"own = block and a < b and {test} and {_close('', 'h', 'n', 'm', num, den)}")).select("a", "b")
 
 
-def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, orders: Orders) -> DataFrame:
-    """(s1, s2, component): the sets that link with others, and the smallest doc_id that they reach; a written table."""
+def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, orders: Orders, repeated: bool) -> DataFrame:
+    """(s1, s2, component): the sets that link with others, and the smallest doc_id that they reach; a written table.
+
+    ``repeated`` tells whether some doc_id has several rows, so that a node may be found more than once.
+    """
     # written first, so that both uses share one exchange and the sets are made once
-    dealt = written(_posts(docs, n, orders), "dealt").repartition("token", "cell")
+    posts = written(_posts(docs, n, orders), "dealt")
+    dealt = posts.where("token is not null and cell is not null").repartition("token", "cell")
     open_ = dealt.groupBy("token", "cell").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("cell > 0 or lo <> hi").select("token", "cell")
     seen = written(dealt.join(open_.hint("shuffle_hash"), ["token", "cell"], "left_semi").select("token", "s1").distinct(), "posts")
+    discard(posts)
     # two sets of one s1 both stand in its blocks
     made = first.select(F.struct(F.col("doc_id").alias("d"), F.col("s1").alias("s")).alias("node"), "s1", "s2", "n", *PARITY)
     marked = written(_blocks(seen, ["s1"]).join(made.hint("merge"), "s1"), "marked")
@@ -337,7 +366,9 @@ def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, order
     alive = ends.select(F.col("a").alias("node")).unionAll(ends.select(F.col("b").alias("node"))).unionAll(met)
     alive = written(alive.distinct(), "alive")
     wanted = written(made.select("node", "s1", "s2", F.col("node.d").alias("d")).join(small(alive), "node").select("d", "s1", "s2"), "wanted")
-    held = written(_held(docs, wanted, n, orders).dropDuplicates(["node"]), "held")
+    held = _held(docs, wanted, n, orders)
+    held = written(held.dropDuplicates(["node"]) if repeated else held, "held")
+    discard(wanted)
     # the blocks of the other orders; only nodes that have some under each can link
     nodes = alive
     for k in range(1, ORDERS):
@@ -380,7 +411,7 @@ def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, order
     found = connected_components(links.unionAll(_verified(shared(pairs), held, num, den)))
     out = found.join(made.select("node", "s1", "s2").hint("merge"), "node").select("s1", "s2", F.col("component.d").alias("component"))
     out = written(out, "linked")
-    discard(seen, marked, size, alive, wanted, held, nodes, rows, span, pairs, found)
+    discard(seen, marked, size, alive, held, nodes, rows, span, pairs, found)
     return out
 
 
@@ -393,7 +424,8 @@ def _grouped(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
     orders = Orders(*frequent_shingles(described), num, den)
     # one node for each different set, with its smallest document
     first = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), *(F.first(k).alias(k) for k in PARITY)), "first")
-    linked = _linked(docs.where("doc_id is not null"), first, n, num, den, orders)
+    repeated = not own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    linked = _linked(docs.where("doc_id is not null"), first, n, num, den, orders, repeated)
     named = first.join(linked.hint("merge"), ["s1", "s2"], "left").where("rows > 1 or component is not null").select("s1", "s2", F.coalesce("component", "doc_id").alias("component"))
     out = own.join(small(written(named, "persets")), ["s1", "s2"], "left")
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).drop("component")
