@@ -34,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", good_quality), ("n-gram Jaccard join", one_of_each), ("secret scans", secrets_out), ("packing", packed)]
 
-#: Trained scores, trained likelihood ratios and packing are not SQL; tests hold the stages against brute force.
+#: Trained scores, trained likelihood ratios and packing are not SQL; tests hold the operators, not yet the whole pipeline.
 ORACLE_SQL = None
 
 
