@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from .common import connected_components, discard, schema_with, small, written
 #: Orders, largest size of the table of frequent shingles, documents that make a shingle frequent, rounds of hubs, nodes of a
 #: small block and of a slab, and posts of a frequent shingle that are dealt together.
 ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FEW, SLAB, CELL = 3, 400_000, 16, 2, 32, 2048, 1 << 16
-CHUNK = 1 << 21
+#: Bytes of text that are hashed at once, shingles among which repeats are looked for, and counts that a task holds.
+CHUNK, COUNTED, COUNTS = 1 << 18, 1 << 19, 1 << 18
 #: Names of the parts of a set's parity mask: 512 bits, each flipped by the shingles that fall on it.
 PARITY = [f"k{i}" for i in range(8)]
 #: Bits of the mask that candidates pass before their sets are fetched: long sets fill 512 bits, and are the costly ones.
@@ -71,16 +73,17 @@ def shingles(texts: list[str], n: int) -> list[np.ndarray]:
 
 
 def _sets(batches, n: int):
-    """(doc_id, set) in chunks."""
+    """(doc_id, set) in chunks; only a chunk's texts are Python strings at a time."""
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        ids, texts = b.column(0).to_pylist(), b.column(1)
+        size = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         i = 0
-        while i < len(texts):
+        while i < len(size):
             j, total = i, 0
-            while j < len(texts) and (j == i or total + len(texts[j] or "") < CHUNK):
-                total += len(texts[j] or "")
+            while j < len(size) and (j == i or total + size[j] < CHUNK):
+                total += size[j]
                 j += 1
-            yield ids[i:j], shingles([t or "" for t in texts[i:j]], n)
+            yield ids[i:j], shingles([t or "" for t in texts.slice(i, j - i).to_pylist()], n)
             i = j
 
 
@@ -101,35 +104,54 @@ def masks(sets: list[np.ndarray], bits: int = 512) -> np.ndarray:
     return np.stack([np.packbits(np.bincount((mixed(s) >> shift).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64) for s in sets])
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of several counts, and the sums of their times."""
+    token, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(token)
+    token, times = token[order], times[order]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    return token[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _repeats(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one of the sets hold, and how many do."""
+    flat = np.sort(np.concatenate(sets))
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    times = np.diff(np.r_[first, len(flat)])
+    return flat[first[times > 1]], times[times > 1]
+
+
 def _describe(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n, s1, s2, mask) of the documents, and rows (token, times) of shingles that a task met more than once."""
+    """Rows (doc_id, n, s1, s2, mask) of the documents, and rows (token, times) of shingles that COUNTED of a task hold more than once."""
     names = ["doc_id", "n", "s1", "s2", *PARITY, "token", "times"]
 
-    def run(batches):
-        seen: dict[int, int] = {}
-
-        def counted():
-            none = pa.nulls(len(seen), pa.int64())
-            return pa.RecordBatch.from_arrays([none] * 12 + [pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=names)
+    def counted(token, times):
+        none = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays([none] * 12 + [pa.array(token.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
+    def run(batches):
+        # sets that are equal count once in a window
+        window: dict[tuple[int, int], np.ndarray] = {}
+        size, parts = 0, []
         for ids, sets in _sets(batches, n):
             s1, s2 = signatures(sets)
             none, odd = pa.nulls(len(ids), pa.int64()), masks(sets)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), *(pa.array(odd[:, k]) for k in range(8)), none, none], names=names)
-            # sets that are equal count once in a chunk
-            different = list({(int(x), int(y)): s for x, y, s in zip(s1, s2, sets, strict=True)}.values())
-            flat = np.sort(np.concatenate(different))
-            if len(flat):
-                first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-                times = np.diff(np.r_[first, len(flat)])
-                often = times > 1
-                for t, k in zip(flat[first[often]].view(np.int64).tolist(), times[often].tolist(), strict=True):
-                    seen[t] = seen.get(t, 0) + k
-            if len(seen) > 1 << 18:
-                yield counted()
-                seen = {}
-        if seen:
-            yield counted()
+            for x, y, s in zip(s1.tolist(), s2.tolist(), sets, strict=True):
+                if len(s) and (x, y) not in window:
+                    window[x, y] = s
+                    size += len(s)
+            if size >= COUNTED:
+                parts.append(_repeats(list(window.values())))
+                window, size = {}, 0
+                if sum(len(p[0]) for p in parts) > COUNTS:
+                    parts = [_added(parts)]
+                    if len(parts[0][0]) > COUNTS // 2:
+                        yield counted(*parts.pop())
+        if window:
+            parts.append(_repeats(list(window.values())))
+        if parts:
+            yield counted(*_added(parts))
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -439,7 +461,7 @@ def join_documents(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
     sequence is one shingle.  Null texts and texts without words have the empty set and link with nothing.  Rows that repeat a
     doc_id are kept; if their texts differ they count as different documents of that id.  A null doc_id links with nothing
     (component_id null).  Other columns are left out; no rows give no rows.  A task holds one text and its set at a time beside
-    a chunk of CHUNK code points, so memory follows the longest text (about 60 bytes a code point).
+    a chunk of CHUNK bytes, so memory follows the longest text (about 60 bytes a code point).
     """
     return _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, similarity).select("doc_id", "n_shingles", "component_id")
 
