@@ -53,4 +53,64 @@ n AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
-ORACLES = {"op13_hard_negatives": _NEGATIVES, "op4_warc": _WARC, "op8_jaccard_join": _JACCARD, "op9_embedding_dedup": _VECTORS}
+def _way(c: str, a: str, o: str) -> str:
+    return f"{{'c': {c}, 'a': {a}, 'o': {o}}}"
+
+
+def _first(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _inserted(w: str, role: str) -> str:
+    return _way(f"{w}.c + 5", f"{w}.a || 'I'", f"list_append({w}.o, '{role}:')")
+
+
+def _kept(w: str, allowed: str) -> str:
+    return _way(f"{w}.c + CASE WHEN fault < 2 AND {allowed} THEN CASE WHEN fault = 1 THEN 5 ELSE 0 END ELSE 1000000000 END", f"{w}.a || 'K'", f"list_append({w}.o, role || ':' || text)")
+
+
+def _reroled(w: str, role: str) -> str:
+    return _way(f"{w}.c + CASE WHEN fault < 2 THEN CASE WHEN fault = 1 THEN 6 ELSE 1 END ELSE 1000000000 END", f"{w}.a || 'R'", f"list_append({w}.o, '{role}:' || text)")
+
+
+def _deleted(w: str) -> str:
+    return _way(f"{w}.c + 2", f"{w}.a || 'D'", f"{w}.o")
+
+
+_OPEN = ["w0", "w1", _first("w2", _inserted("w0", "user"), _inserted("w1", "user"), _inserted("w3", "user")), "w3"]
+_NONE = _way("CAST(1000000000 AS BIGINT)", "''", "CAST([] AS VARCHAR[])")
+_REPAIR = rf"""
+WITH RECURSIVE polynomial AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (
+  SELECT named.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM named, polynomial),
+damaged AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS key, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY key, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+faulty AS (
+  SELECT key, i, turn, role, text, role[1] AS s, lag(role[1]) OVER (PARTITION BY key ORDER BY i) || role[1] AS two,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2 WHEN nth > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 1 ELSE 0 END AS fault FROM placed),
+counted AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+    count(*) FILTER (two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY 1),
+ids AS (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS key FROM conversations),
+ways AS (
+  SELECT key, CAST(0 AS BIGINT) AS i, {_way("CAST(0 AS BIGINT)", "''", "CAST([] AS VARCHAR[])")} AS w0, {_NONE} AS w1, {_NONE} AS w2, {_NONE} AS w3 FROM ids
+  UNION ALL
+  SELECT key, i, {_deleted("w0")}, {_first(_deleted("w1"), _kept("w0", "s = 's'"))},
+    {_first(_deleted("w2"), *(_kept(w, "s = 'u'") for w in ("w0", "w1", "w3")), *(_reroled(w, "user") for w in ("w0", "w1", "w3")))},
+    {_first(_deleted("w3"), _kept("w2", "s = 'a'"), _reroled("w2", "assistant"))}
+  FROM (SELECT key, i, role, text, s, fault, w0, w1, {_first("w2", _inserted("w3", "user"))} AS w2, {_first("w3", _inserted("w2", "assistant"))} AS w3
+        FROM (SELECT ways.key, faulty.i, role, text, s, fault, w0, w1, {_OPEN[2]} AS w2, {_first("w3", _inserted("w2", "assistant"))} AS w3 FROM ways JOIN faulty ON ways.key = faulty.key AND faulty.i = ways.i + 1))),
+ended AS (
+  SELECT key, i, list_sort([w0, w3, {_inserted("w2", "assistant")}, {_inserted(_inserted("w1", "user"), "assistant")}])[1] AS w FROM ways)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  w.c AS cost, w.a AS audit, sha256(array_to_string(w.o, chr(10))) AS repaired_sha256
+FROM ids LEFT JOIN counted USING (key) JOIN ended ON ended.key = ids.key AND ended.i = coalesce(n, 0)
+"""
+
+ORACLES = {"op11_conversation_repair": _REPAIR, "op13_hard_negatives": _NEGATIVES, "op4_warc": _WARC, "op8_jaccard_join": _JACCARD, "op9_embedding_dedup": _VECTORS}
