@@ -3,13 +3,16 @@
 import hashlib
 import itertools
 import math
+import os
 import random
+import re
 import zlib
 
 import pytest
 
 from twinleg.llm import conversation_repair as C
 from twinleg.llm import hard_negatives as H
+from twinleg.llm import substring_dedup as S
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -164,3 +167,65 @@ def test_scores_are_exact_or_held():
 def test_zero_scores_before_their_positive():
     pairs = sorted([(H.pack(1, 0, 0, 2, 2), False), (H.pack(1, 0, 0, 5, 5), True), (H.pack(1, 0, 0, 7, 7), False), (H.pack(1, 0, -3, 8, 8), False)])
     assert [r[1:4] for r in H.mined(iter(pairs))] == [(5, 1, 2), (5, 2, 7)]
+
+
+def repeats_by_force(rows, n):
+    """(doc_id, words, removed, kept) of each row, and the longest of n, 2n, 4n, ... that repeats."""
+    texts = [(math.inf if d is None else d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    windows = lambda m: {(d, tuple(w[i : i + m])) for d, w in texts for i in range(len(w) - m + 1)}
+    first, out = {}, []
+    for d, w in windows(n):
+        first[w] = min(first.get(w, math.inf), d)
+    for (d, w), (doc_id, _) in zip(texts, rows, strict=True):
+        gone = {j for i in range(len(w) - n + 1) if first[tuple(w[i : i + n])] < d for j in range(i, i + n)}
+        longest, m = 0, n
+        while any(d2 != d and (d2, tuple(w[i : i + m])) in held for held in [windows(m)] for i in range(len(w) - m + 1) for d2, _ in texts):
+            longest, m = m, m * 2
+        out.append((doc_id, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone), longest))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 13])
+def test_substring_removal_equals_brute_force(spark, n):
+    rng = random.Random(n)
+    passages = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(5, 60))] for _ in range(4)]
+    rows = []
+    for d in range(40):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(0, 50))]
+        for p in rng.sample(passages, rng.randrange(0, 3)):
+            k = rng.randrange(len(w) + 1)
+            w[k:k] = p[rng.randrange(3) :]
+        rows.append((d, rng.choice([" ", "\n", "\t\x0b "]).join(w)))
+    same = " ".join(f"same{i % 7}" for i in range(70))
+    rows += [(41, same), (41, same), (42, same + " é\x85ü"), (None, same), (None, same), (43, None), (44, ""), (45, " \n "), (41, "other " * 20), (50, "x"), (-3, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", S.F.lit(1)).withColumn("at", S.F.lit(1))
+    want = repeats_by_force(rows, n)
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in S.remove_repeats(frame, n).collect()), key=key) == sorted((r[:4] for r in want), key=key)
+    if n in (2, 13):
+        assert sorted((tuple(r) for r in S.longest_repeats(frame, n).collect()), key=key) == sorted((r[::4] for r in want), key=key)
+    assert S.remove_repeats(frame.limit(0), n).count() == 0 and S.longest_repeats(frame.limit(0), n).count() == 0
+
+
+def test_substring_removal_of_a_very_long_text(spark):
+    rng = random.Random(0)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    got = {r["doc_id"]: r for r in S.remove_repeats(spark.createDataFrame([(1, long), (2, "a b " + long[: len(long) // 2])], "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[1]["kept"] == long and got[2]["n_words"] - got[2]["n_removed"] in (2, 3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["op4_warc", "op8_jaccard_join", "op9_embedding_dedup", "op11_conversation_repair", "op12_substring_dedup", "op13_hard_negatives"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+    import pandas as pd
+
+    import __spark_entry__ as entry
+    from twinleg.llm.oracles import ORACLES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    got, want = entry.queries()[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(ORACLES[name]).df()
+    rows = lambda df: sorted(tuple("" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(want.columns)].astype(object).itertuples(index=False))
+    assert rows(got) == rows(want)

@@ -113,4 +113,16 @@ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
 FROM ids LEFT JOIN counted USING (key) JOIN ended ON ended.key = ids.key AND ended.i = coalesce(n, 0)
 """
 
-ORACLES = {"op11_conversation_repair": _REPAIR, "op13_hard_negatives": _NEGATIVES, "op4_warc": _WARC, "op8_jaccard_join": _JACCARD, "op9_embedding_dedup": _VECTORS}
+_REPEATS = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM h GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM h JOIN f USING (k) WHERE doc_id > first),
+l AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_select(ws, list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i))) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN l USING (doc_id)
+"""
+
+ORACLES = {"op12_substring_dedup": _REPEATS, "op11_conversation_repair": _REPAIR, "op13_hard_negatives": _NEGATIVES, "op4_warc": _WARC, "op8_jaccard_join": _JACCARD, "op9_embedding_dedup": _VECTORS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, embed_dedup, hard_negatives, lz_fingerprint, packing, quality, sanitise, secret_scan, shingle_join, url_filter, warc
+from . import bpe, conversation_repair, embed_dedup, hard_negatives, lz_fingerprint, packing, quality, sanitise, secret_scan, shingle_join, substring_dedup, url_filter, warc
 from .spans import span_text
 
 
@@ -83,6 +83,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(rows), rows)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
     return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label)
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_secret_scans, op2_packing, op3_quality, op4_warc, op5_url_filters, op6_lz_fingerprints, op7_bpe, op8_jaccard_join, op9_embedding_dedup, op10_pii, op11_conversation_repair, op13_hard_negatives, pipeline)
+    every = (op1_secret_scans, op2_packing, op3_quality, op4_warc, op5_url_filters, op6_lz_fingerprints, op7_bpe, op8_jaccard_join, op9_embedding_dedup, op10_pii, op11_conversation_repair, op12_substring_dedup, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in every}
 
 
