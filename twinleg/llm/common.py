@@ -50,7 +50,12 @@ def discard(*tables: DataFrame) -> None:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        settle(tables[0].sparkSession)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver collect plans that nothing refers to, so that their shuffle files go before the next ones are made."""
+    spark._jvm.System.gc()
 
 
 def _width(column: Column, kind: DataType) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mixed, powers
-from .common import discard, small, written
+from .common import discard, settle, small, written
 
 #: Words of a window, and bytes of text that are hashed at once.
 LENGTH, CHUNK = 13, 1 << 18
@@ -83,14 +83,19 @@ def _chunks(batches) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """Rows (d, q, doc_id, text): d orders documents, q tells rows of one doc_id with different texts apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("q"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Rows (d, q, doc_id, text): d orders documents, q tells rows of one doc_id with different texts apart and is 0 for others."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    q = F.xxhash64("text")
+    several = written(docs.groupBy("d").agg(F.min(q).alias("least"), F.max(q).alias("most")).where("least <> most").select("d", F.lit(True).alias("several")), "several")
+    return docs.join(small(several), "d", "left").select("d", F.when(F.col("several"), q).otherwise(F.lit(0)).cast("long").alias("q"), "doc_id", "text")
 
 
 def _repeated(places: DataFrame, key: list[str]) -> DataFrame:
     """Rows (*key, first) of the keys that several values of d hold, and the least of these; a written table."""
     found = places.groupBy(*key).agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
-    return written(found, "repeated")
+    found = written(found, "repeated")
+    settle(places.sparkSession)
+    return found
 
 
 def _short(length: int):
