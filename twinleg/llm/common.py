@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,11 +52,16 @@ def discard(*tables: DataFrame) -> None:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        settle(tables[0].sparkSession)
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def settle(spark: SparkSession) -> None:
-    """Let the driver collect plans that nothing refers to, so that their shuffle files go before the next ones are made."""
+    """Let the driver collect plans that nothing refers to, so that their shuffle files go before the next ones are made.
+
+    Python lets go of the driver's objects by a thread of its own, which looks once a second.
+    """
+    gc.collect()
+    time.sleep(1.5)
     spark._jvm.System.gc()
 
 

@@ -146,9 +146,12 @@ def _surviving(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     again = _repeated(short, ["h"])
     held = written(short.join(small(again.select("h")), "h").groupBy("d", "q").agg(F.collect_set("h").alias("known")), "known")
     discard(short, again)
+    settle(docs.sparkSession)
     joined = docs.select("d", "q", "text").join(small(held), ["d", "q"])
     places = written(joined.select("d", "q", "text", "known").mapInArrow(_wanted(length), "g1 long, g2 long, d long, q long, at int"), "places")
     discard(held)
+    del joined
+    settle(docs.sparkSession)
     return places, _repeated(places, ["g1", "g2"])
 
 
@@ -165,6 +168,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     gone = places.join(small(firsts), ["g1", "g2"]).where("d > first").groupBy("d", "q").agg(F.collect_set("at").alias("starts"))
     gone = written(gone, "gone")
     discard(places, firsts)
+    settle(docs.sparkSession)
 
     def run(batches):
         for b in batches:
