@@ -61,8 +61,9 @@ def settle(spark: SparkSession) -> None:
     Python lets go of the driver's objects by a thread of its own, which looks once a second.
     """
     gc.collect()
-    time.sleep(1.5)
-    spark._jvm.System.gc()
+    for seconds in (1.2, 0.6):
+        time.sleep(seconds)
+        spark._jvm.System.gc()
 
 
 def _width(column: Column, kind: DataType) -> Column:

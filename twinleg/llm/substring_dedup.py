@@ -144,10 +144,10 @@ def _surviving(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Places (g1, g2, d, q, at) of candidate windows of ``length`` words, and the windows (g1, g2, first) that repeat; written tables."""
     short = written(docs.select("d", "q", "text").mapInArrow(_short(length), "h long, d long, q long"), "short")
     again = _repeated(short, ["h"])
-    held = written(short.join(small(again.select("h")), "h").groupBy("d", "q").agg(F.collect_set("h").alias("known")), "known")
+    held = written(short.join(again.select("h").hint("merge"), "h").groupBy("d", "q").agg(F.collect_set("h").alias("known")), "known")
     discard(short, again)
     settle(docs.sparkSession)
-    joined = docs.select("d", "q", "text").join(small(held), ["d", "q"])
+    joined = docs.select("d", "q", "text").join(held.hint("merge"), ["d", "q"])
     places = written(joined.select("d", "q", "text", "known").mapInArrow(_wanted(length), "g1 long, g2 long, d long, q long, at int"), "places")
     discard(held)
     del joined
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     docs = _documents(docs)
     places, firsts = _surviving(docs, length)
-    gone = places.join(small(firsts), ["g1", "g2"]).where("d > first").groupBy("d", "q").agg(F.collect_set("at").alias("starts"))
+    gone = places.join(firsts.hint("merge"), ["g1", "g2"]).where("d > first").groupBy("d", "q").agg(F.collect_set("at").alias("starts"))
     gone = written(gone, "gone")
     discard(places, firsts)
     settle(docs.sparkSession)
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             n, gone_, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone_, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    whole = docs.join(small(gone), ["d", "q"], "left").select("doc_id", "text", "starts")
+    whole = docs.join(gone.hint("merge"), ["d", "q"], "left").select("doc_id", "text", "starts")
     return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
