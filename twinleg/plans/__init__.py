@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import folds, ledger, panel, records, risk, trades
+from . import entities, folds, ledger, panel, records, risk, trades
 
 
 def queries() -> dict:
-    return panel.QUERIES | ledger.QUERIES | folds.QUERIES | records.QUERIES | risk.QUERIES | trades.QUERIES
+    return panel.QUERIES | ledger.QUERIES | folds.QUERIES | entities.QUERIES | records.QUERIES | risk.QUERIES | trades.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return panel.ORACLES | ledger.ORACLES | folds.ORACLES | records.ORACLES | risk.ORACLES | trades.ORACLES
+    return panel.ORACLES | ledger.ORACLES | folds.ORACLES | entities.ORACLES | records.ORACLES | risk.ORACLES | trades.ORACLES
