@@ -69,3 +69,25 @@ def test_pooled_path_stops_at_the_first_thin_horizon(spark):
     got = {(r["regime"], r["h"]): r["n"] for r in out}
     assert got == {**{(k, h): 60 - h for k in "rq" for h in (1, 2, 5)}, **{(None, h): 2 * (60 - h) for h in (1, 2, 5)}}
     assert {r["h"]: r["rho"] for r in out if r["regime"] == "r"}[1] > 0.3
+
+
+def test_dollar_volume_carries_fx_and_keeps_the_last_session(spark):
+    day = lambda d: dt.date(2020, 1, d)
+    bars = [("p", leg, day(d), 10.0 * d, 100) for leg in "ANR" for d in range(1, 7)]
+    fx = [(day(d), float(d)) for d in (2, 3, 5)] + [(dt.date(2019, 12, 31), 7.0)]  # 2019-12-31 is no session of the leg
+    got = R.dollar_volume(spark.createDataFrame(bars, "pair_id string, leg string, date date, close double, volume long"), spark.createDataFrame(fx, "date date, fx double"), 3, 2).orderBy("leg", "date").collect()
+    adv = {(r["leg"], r["date"].day): r["adv"] for r in got}
+    assert adv[("A", 2)] == 1500.0 and adv[("A", 6)] == 5000.0 and ("A", 1) not in adv and ("R", 3) not in {k[0] for k in adv}
+    # local: 20/2, 30/3, 40/3 (carried), 50/5, 60/5 (carried), times 100; none on the first session
+    assert ("N", 2) not in adv and adv[("N", 3)] == 1000.0 and abs(adv[("N", 6)] - 100 * (40 / 3 + 10 + 12) / 3) < 1e-9
+    last = R.dollar_adv(spark.createDataFrame(bars, "pair_id string, leg string, date date, close double, volume long"), spark.createDataFrame(fx, "date date, fx double"), 3, 2).where("leg = 'N'").first()
+    assert last["last_date"] == day(6) and last["n"] == 4 and last["caveat"] == "recent"
+
+
+def test_stress_of_any_share(spark):
+    adv = spark.createDataFrame([("p", "A", 100.0), ("p", "N", 50.0)], "pair_id string, leg string, adv double")
+    assert [r["sessions_stressed"] for r in R.unwind_table(adv, [10.0], [5, 15]).orderBy("participation_bp").collect()] == pytest.approx([4000.0, 10 / (50 * 0.00015)])
+
+
+def test_horizons():
+    assert len(R.horizon_grid()) == 66 and R.horizon_grid()[-1] == 400 and R.horizon_grid(30) == [*range(1, 21), 25, 30]

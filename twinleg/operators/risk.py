@@ -77,13 +77,22 @@ def residual_share(panel: DataFrame) -> DataFrame:
     return rows.groupBy("pair_id").agg(F.count("*").alias("n"), F.expr("percentile(r, 0.5)").alias("median_share"), F.expr("percentile(r, 0.95)").alias("p95_share"), F.max("r").alias("max_share"))
 
 
+def dollar_volume(bars: DataFrame, fx: DataFrame, n: int = 20, least: int = 3) -> DataFrame:
+    """(pair_id, leg, date, adv): trailing mean of each leg's own close times its own volume in dollars, where ``least`` of the
+    last ``n`` sessions have one.  Receipts (leg A) are in dollars; local shares (N) go through FX, carried forward over the
+    leg's own sessions without a quote."""
+    rows = bars.where("leg in ('A', 'N')").join(fx.hint("merge"), "date", "left")
+    own = Window.partitionBy("pair_id", "leg").orderBy("date")
+    carried = F.last("fx", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("usd", F.col("close") * F.col("volume") / F.when(F.col("leg") == "N", carried).otherwise(F.lit(1.0)))
+    w = own.rowsBetween(-(n - 1), 0)
+    return rows.withColumn("adv", F.when(F.count("usd").over(w) >= least, F.avg("usd").over(w))).where("adv is not null").select("pair_id", "leg", "date", "adv")
+
+
 def dollar_adv(bars: DataFrame, fx: DataFrame, n: int = 20, least: int = 3) -> DataFrame:
-    """Trailing dollar volume of each leg at its last session: receipts (leg A) in dollars, local shares (N) through FX."""
-    rows = bars.where("leg in ('A', 'N')").join(fx, "date")
-    usd = F.col("close") * F.col("volume") / F.when(F.col("leg") == "N", F.col("fx")).otherwise(F.lit(1.0))
-    w = Window.partitionBy("pair_id", "leg").orderBy("date").rowsBetween(-(n - 1), 0)
-    rows = rows.withColumn("usd", usd).withColumn("adv", F.when(F.count("usd").over(w) >= least, F.avg("usd").over(w)))
-    out = rows.groupBy("pair_id", "leg").agg(F.count("adv").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("adv", "date").alias("adv"))
+    """The last of each leg's ``dollar_volume``, its first and last date, and whether its history is recent or deep."""
+    out = dollar_volume(bars, fx, n, least).groupBy("pair_id", "leg")
+    out = out.agg(F.count("adv").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("adv", "date").alias("adv"))
     return out.withColumn("caveat", F.when(F.col("n") < 60, "recent").otherwise("deep"))
 
 
@@ -99,8 +108,7 @@ def days_to_unwind(adv: DataFrame, sizes: list[float], participation_bp: list[in
 def unwind_table(adv: DataFrame, sizes: list[float], participation_bp: list[int], stress: int = 10) -> DataFrame:
     """Normal and stressed sessions to leave: under stress the same share of volume is ``stress`` times harder to take."""
     normal = days_to_unwind(adv, sizes, participation_bp).select("pair_id", "size_usd", "participation_bp", F.col("days_binding").alias("sessions_normal"))
-    tight = days_to_unwind(adv, sizes, [p // stress for p in participation_bp]).select("pair_id", "size_usd", (F.col("participation_bp") * stress).alias("participation_bp"), F.col("days_binding").alias("sessions_stressed"))
-    return normal.join(tight, ["pair_id", "size_usd", "participation_bp"], "left")
+    return normal.withColumn("sessions_stressed", F.col("sessions_normal") * stress)
 
 
 def excursion_axis(panel: DataFrame, h: int) -> DataFrame:
@@ -125,14 +133,24 @@ def reconcile_hints(report: DataFrame) -> DataFrame:
     return report.select("pair_id", "overlap", "mismatches", F.when(F.col("mismatches") > 0, F.array_join(hints, ",")).otherwise("").alias("hints"))
 
 
-def pooled_projection(panel: DataFrame, regime: Column, horizons: list[int], shrink: float = 1e-4, least: float = 5.0) -> DataFrame:
-    """Slope of the gap h sessions on, pooled over each regime's pairs after demeaning within the pair, and a pooled row (null
-    regime); every regime's path ends at the first horizon with fewer than ``least`` sessions for each step ahead."""
+def horizon_grid(most: int = 400) -> list[int]:
+    """Every session to 20, every fifth to 100, every tenth to 400."""
+    return [h for h in (*range(1, 21), *range(25, 101, 5), *range(110, 401, 10)) if h <= most]
+
+
+def pooled_projection(panel: DataFrame, regime: Column, horizons: list[int], shrink: float = 1e-4, least: float = 5.0, rows_least: int = 20) -> DataFrame:
+    """Slope of the gap h sessions on, its intercept and R squared, pooled over each regime's pairs after demeaning within the
+    pair, and a pooled row (null regime); horizons under ``rows_least`` sessions are left out, and every regime's path ends at the
+    first one with fewer than ``least`` sessions for each step ahead.  From 12 on a slope counts as identified."""
     every = Window.partitionBy("pair_id")
     rows = panel.withColumn("regime", regime).withColumn("x", F.col("pi") - F.avg("pi").over(every))
     ahead = F.array(*(F.struct(F.lit(h).alias("h"), F.lead("x", h).over(by_pair()).alias("y")) for h in horizons))
     pairs = rows.withColumn("ahead", ahead).select("regime", "x", F.explode("ahead").alias("a")).select("regime", "x", "a.h", "a.y").where("y is not null")
     n = F.count("*")
-    sums = pairs.groupingSets([["regime", "h"], ["h"]], "regime", "h").agg(n.alias("n"), (F.covar_pop("x", "y") * n).alias("sxy"), (F.var_pop("x") * n).alias("sxx"), F.grouping("regime").alias("pooled"))
+    sums = pairs.groupingSets([["regime", "h"], ["h"]], "regime", "h").agg(
+        n.alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.covar_pop("x", "y") * n).alias("sxy"), (F.var_pop("x") * n).alias("sxx"), (F.var_pop("y") * n).alias("syy"), F.grouping("regime").alias("pooled")
+    )
     path = Window.partitionBy("pooled", "regime").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    return sums.withColumn("room", F.min(F.col("n") / F.col("h")).over(path)).where(f"room >= {least}").select("regime", "h", "n", (F.col("sxy") / (F.col("sxx") + shrink)).alias("rho"))
+    kept = sums.where(f"n >= {rows_least}").withColumn("room", F.min(F.col("n") / F.col("h")).over(path)).where(f"room >= {least}").withColumn("rho", F.expr(f"sxy / (sxx + {shrink})"))
+    unexplained = F.expr("syy - 2 * rho * sxy + rho * rho * sxx")
+    return kept.select("regime", "h", "n", "rho", F.expr("my - rho * mx").alias("alpha"), (1 - unexplained / F.nullif("syy", F.lit(0.0))).alias("r2"), F.expr("n / h >= 12").alias("identified"))

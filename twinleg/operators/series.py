@@ -32,11 +32,6 @@ def trend(panel: DataFrame, k: int, column: str = "fx") -> DataFrame:
     return panel.withColumn("trend", F.col(column) / F.lag(column, k).over(by_pair()) - 1)
 
 
-def dollar_volume(panel: DataFrame, n: int = 20, least: int = 3) -> DataFrame:
-    w = by_pair().rowsBetween(-(n - 1), 0)
-    return panel.withColumn("adv", full_window(F.avg(F.col("local") * F.col("volume") / F.col("fx")).over(w), n, least))
-
-
 def trailing_rank(panel: DataFrame, n: int, least: int, column: str = "pi") -> DataFrame:
     """Share of the earlier values of the trailing window that the last one reaches (itself left out), and its tercile.
 

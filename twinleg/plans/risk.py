@@ -12,7 +12,7 @@ from twinleg.sources.tables import daily_bars, daily_fx, read
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 SIZES, SHARES, NOTIONALS, BUDGETS = [25e6, 100e6, 1e9], [500, 1000, 2000], [25e6, 1e8], [3.0, 5.0, 10.0]
-HORIZONS = [*range(1, 21), *range(25, 251, 5)]
+HORIZONS = R.horizon_grid()
 
 
 def _add(name: str, query, body: str) -> None:
@@ -52,18 +52,21 @@ t AS (SELECT pair_id, leg, date, rg, rel, row_number() OVER (PARTITION BY pair_i
 SELECT pair_id, leg, n, date stress_date, round(rg, 6) stress_range, round(mid, 6) median_range, round(rg / nullif(mid, 0), 6) range_multiple, round(rel, 6) volume_vs_trailing FROM t JOIN g USING (pair_id, leg) WHERE k = 1""")
 _add("prj05_residual_share", lambda s, d: rounded(R.residual_share(panel(s, d))),
      ", q AS (SELECT pair_id, pi / (1 + pi) r FROM panel) SELECT pair_id, count(*) n, round(median(r), 6) median_share, round(quantile_cont(r, 0.95), 6) p95_share, round(max(r), 6) max_share FROM q GROUP BY 1")
-_ADV = """, u AS (SELECT pair_id, leg, date, close * volume / CASE WHEN leg = 'N' THEN fx ELSE 1 END usd FROM bars JOIN fx USING (date) WHERE leg IN ('A', 'N')),
-a AS (SELECT *, CASE WHEN count(usd) OVER w >= 3 THEN avg(usd) OVER w END adv FROM u WINDOW w AS (PARTITION BY pair_id, leg ORDER BY date ROWS 19 PRECEDING)),
-adv AS (SELECT pair_id, leg, count(adv) n, min(date) first_date, max(date) last_date, arg_max_null(adv, date) adv FROM a GROUP BY 1, 2)"""
+_ADV = """, u AS (
+  SELECT pair_id, leg, date, close * volume / CASE WHEN leg = 'N' THEN last_value(fx IGNORE NULLS) OVER (PARTITION BY pair_id, leg ORDER BY date ROWS UNBOUNDED PRECEDING) ELSE 1 END AS usd
+  FROM bars LEFT JOIN fx USING (date) WHERE leg IN ('A', 'N')),
+a AS (SELECT *, CASE WHEN count(usd) OVER w >= 3 THEN avg(usd) OVER w END AS adv FROM u WINDOW w AS (PARTITION BY pair_id, leg ORDER BY date ROWS 19 PRECEDING)),
+adv AS (SELECT pair_id, leg, count(adv) AS n, min(date) AS first_date, max(date) AS last_date, arg_max(adv, date) AS adv FROM a WHERE adv IS NOT NULL GROUP BY 1, 2)"""
 _adv = lambda s, d: R.dollar_adv(daily_bars(s, d), daily_fx(s, d))
-_add("agg37_dollar_adv", lambda s, d: rounded(_adv(s, d), 3),
-     _ADV + " SELECT pair_id, leg, n, first_date, last_date, round(adv, 3) adv, CASE WHEN n < 60 THEN 'recent' ELSE 'deep' END caveat FROM adv")
+_add("agg37_dollar_adv", lambda s, d: rounded(_adv(s, d), 4),
+     _ADV + " SELECT pair_id, leg, n, first_date, last_date, round(adv, 4) adv, CASE WHEN n < 60 THEN 'recent' ELSE 'deep' END caveat FROM adv")
 _SIDES = _ADV + """, e AS (SELECT pair_id, max(adv) FILTER (leg = 'A') a, max(adv) FILTER (leg = 'N') l FROM adv GROUP BY 1),
-g AS (SELECT pair_id, size_usd, bp, size_usd / (a * bp / 10000) da, size_usd / (l * bp / 10000) dl FROM e, (SELECT unnest([25e6, 100e6, 1e9])::DOUBLE size_usd), (SELECT unnest([50, 100, 200, 500, 1000, 2000]) bp))"""
+g AS (SELECT pair_id, size_usd, bp, size_usd / (a * bp / 10000) da, size_usd / (l * bp / 10000) dl FROM e, (SELECT unnest([25e6, 100e6, 1e9])::DOUBLE size_usd), (SELECT unnest([500, 1000, 2000]) bp))"""
 _add("agg38_days_to_unwind", lambda s, d: rounded(R.days_to_unwind(_adv(s, d), SIZES, SHARES), 3),
-     _SIDES + " SELECT pair_id, size_usd, CAST(bp AS BIGINT) participation_bp, round(da, 3) days_adr, round(dl, 3) days_local, round(greatest(da, dl), 3) days_binding, CASE WHEN da >= dl THEN 'adr' ELSE 'local' END binding_leg FROM g WHERE bp >= 500")
+     _SIDES + " SELECT pair_id, size_usd, CAST(bp AS BIGINT) participation_bp, round(da, 3) days_adr, round(dl, 3) days_local, round(greatest(da, dl), 3) days_binding, CASE WHEN da >= dl THEN 'adr' ELSE 'local' END binding_leg FROM g")
 _add("join22_unwind", lambda s, d: rounded(R.unwind_table(_adv(s, d), SIZES, SHARES), 3),
-     _SIDES + " SELECT n.pair_id, n.size_usd, CAST(n.bp AS BIGINT) participation_bp, round(greatest(n.da, n.dl), 3) sessions_normal, round(greatest(t.da, t.dl), 3) sessions_stressed FROM g n LEFT JOIN g t ON n.pair_id = t.pair_id AND n.size_usd = t.size_usd AND t.bp * 10 = n.bp WHERE n.bp >= 500")
+     _SIDES + """ SELECT pair_id, size_usd, CAST(bp AS BIGINT) AS participation_bp, round(greatest(da, dl), 3) AS sessions_normal,
+  round(size_usd / least((SELECT max(adv) FROM adv WHERE adv.pair_id = g.pair_id AND leg = 'A'), (SELECT max(adv) FROM adv WHERE adv.pair_id = g.pair_id AND leg = 'N')) / (bp / 10.0 / 10000), 3) AS sessions_stressed FROM g""")
 _AXIS = """, x AS (SELECT pair_id, (max(pi) OVER (PARTITION BY pair_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING) - pi) * 100 x, lead(pi, 20) OVER (PARTITION BY pair_id ORDER BY date) ahead FROM panel),
 k AS (SELECT pair_id, unnest(['P50', 'P95', 'max']) excursion, unnest([median(x), quantile_cont(x, 0.95), max(x)]) points FROM x WHERE ahead IS NOT NULL GROUP BY pair_id)"""
 _add("agg52_excursion_axis", lambda s, d: rounded(R.excursion_axis(panel(s, d), 20)), _AXIS + " SELECT pair_id, excursion, round(points, 6) points FROM k")
@@ -78,10 +81,12 @@ SELECT pair_id, overlap, mismatches, CASE WHEN mismatches > 0 THEN CASE WHEN mis
 _regime = lambda: F.when(F.col("pair_id").isin("ASIA", "EUROPE"), "constrained").otherwise("fungible")
 _add("agg12_pooled_projection", lambda s, d: rounded(R.pooled_projection(panel(s, d), _regime(), HORIZONS)),
      """, x AS (SELECT pair_id, rn, CASE WHEN pair_id IN ('ASIA', 'EUROPE') THEN 'constrained' ELSE 'fungible' END regime, pi - avg(pi) OVER (PARTITION BY pair_id) x FROM panel),
-j AS (SELECT a.regime, h, a.x, b.x y FROM x a, (SELECT unnest(list_concat(range(1, 21), range(25, 251, 5))) h) k, x b WHERE a.pair_id = b.pair_id AND b.rn = a.rn + h),
-t AS (SELECT regime, h, count(*) n, covar_pop(x, y) * count(*) sxy, var_pop(x) * count(*) sxx, grouping(regime) pooled FROM j GROUP BY GROUPING SETS ((regime, h), (h))),
+j AS (SELECT a.regime, h, a.x, b.x y FROM x a, (SELECT unnest(list_concat(range(1, 21), range(25, 101, 5), range(110, 401, 10))) h) k, x b WHERE a.pair_id = b.pair_id AND b.rn = a.rn + h),
+t AS (SELECT regime, h, count(*) n, avg(x) mx, avg(y) my, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 1e-4) rho, grouping(regime) pooled FROM j GROUP BY GROUPING SETS ((regime, h), (h)) HAVING count(*) >= 20),
+e AS (SELECT t.pooled, t.regime, t.h, sum((j.y - my - rho * (j.x - mx)) ** 2) sse, sum((j.y - my) ** 2) sst FROM t JOIN j ON t.h = j.h AND (t.pooled = 1 OR t.regime = j.regime) GROUP BY 1, 2, 3),
 p AS (SELECT *, min(n / h) OVER (PARTITION BY pooled, regime ORDER BY h) room FROM t)
-SELECT regime, CAST(h AS BIGINT) h, n, round(sxy / (sxx + 1e-4), 6) rho FROM p WHERE room >= 5""")
+SELECT p.regime, CAST(p.h AS BIGINT) h, n, round(rho, 6) rho, round(my - rho * mx, 6) alpha, round(1 - sse / nullif(sst, 0), 6) r2, n / p.h >= 12 identified
+FROM p JOIN e ON p.h = e.h AND p.pooled = e.pooled AND p.regime IS NOT DISTINCT FROM e.regime WHERE room >= 5""")
 
 
 def _ledger(s, d):
