@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import entities, folds, landing, ledger, panel, payloads, records, risk, trades
+from . import decisions, entities, folds, landing, ledger, panel, payloads, records, risk, trades
 
 
 def queries() -> dict:
-    return panel.QUERIES | ledger.QUERIES | folds.QUERIES | landing.QUERIES | payloads.QUERIES | entities.QUERIES | records.QUERIES | risk.QUERIES | trades.QUERIES
+    return panel.QUERIES | ledger.QUERIES | folds.QUERIES | decisions.QUERIES | landing.QUERIES | payloads.QUERIES | entities.QUERIES | records.QUERIES | risk.QUERIES | trades.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return panel.ORACLES | ledger.ORACLES | folds.ORACLES | landing.ORACLES | payloads.ORACLES | entities.ORACLES | records.ORACLES | risk.ORACLES | trades.ORACLES
+    return panel.ORACLES | ledger.ORACLES | folds.ORACLES | decisions.ORACLES | landing.ORACLES | payloads.ORACLES | entities.ORACLES | records.ORACLES | risk.ORACLES | trades.ORACLES
