@@ -131,14 +131,19 @@ _add("agg36_calm_and_stress", lambda s, d: rounded(S.calm_and_stress(panel(s, d)
 _add("agg21_fx_regression", lambda s, d: rounded(S.fx_regression(panel(s, d))),
      ", r AS (SELECT pair_id, ln(fx) - lag(ln(fx)) OVER w x, pi - lag(pi) OVER w y FROM panel WINDOW w AS (PARTITION BY pair_id ORDER BY date)), k AS (SELECT * FROM r WHERE x IS NOT NULL), g AS (SELECT pair_id, count(*) n, regr_slope(y, x) beta, regr_r2(y, x) r2, regr_syy(y, x) syy, regr_sxy(y, x) sxy, regr_sxx(y, x) sxx FROM k GROUP BY 1) SELECT pair_id, n, round(beta, 6) beta, round(r2, 6) r2, round(sqrt((syy - beta * sxy) / (n - 2) / sxx), 6) se FROM g")
 
+_ADDRESS, _HREF = r"https?://[^\s\"'<>)]+", r"(?i)href\s*=\s*[\"']?([^\s\"'<>)]+)"
+
 
 def _urls(s, d):
-    """TXT-04: different links of all pages, closing punctuation cut off."""
-    hits = read(s, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("https?://[^\\s\"'<>)]+"), F.lit(0))).alias("u"))
-    return hits.select(F.regexp_replace("u", "[.,;]+$", "").alias("link")).distinct()
+    """TXT-04: different links of all pages: what href attributes point at and addresses in the text, closing punctuation cut off."""
+    found = (F.regexp_extract_all("html", F.lit(p), F.lit(g)) for p, g in ((_HREF, 1), (_ADDRESS, 0)))
+    hits = read(s, d, "pages").select(F.explode(F.concat(*found)).alias("u"))
+    return hits.select(F.regexp_replace("u", "[.,;]+$", "").alias("link")).where("link <> ''").distinct()
 
 
-_add("txt04_links", _urls, r"""SELECT DISTINCT regexp_replace(u, '[.,;]+$', '') AS link FROM (SELECT unnest(regexp_extract_all(html, 'https?://[^\s"''<>)]+')) u FROM pages)""", raw=True)
+_add("txt04_links", _urls, f"""
+WITH u AS (SELECT unnest(list_concat(regexp_extract_all(html, '{_HREF.replace("'", "''")}', 1), regexp_extract_all(html, '{_ADDRESS.replace("'", "''")}'))) AS u FROM pages)
+SELECT DISTINCT regexp_replace(u, '[.,;]+$', '') AS link FROM u WHERE regexp_replace(u, '[.,;]+$', '') <> ''""", raw=True)
 
 
 def _lines(s, d):
