@@ -105,12 +105,12 @@ _add("win02_realised_volatility", lambda s, d: rounded(S.realised_volatility(pan
 _add("win03_drawdown", lambda s, d: rounded(S.drawdown(panel(s, d), 60).select("pair_id", "date", "drawdown")),
      " SELECT pair_id, date, round(CASE WHEN count(*) OVER w >= 60 THEN pi - max(pi) OVER w END, 6) drawdown FROM panel WINDOW w AS (PARTITION BY pair_id ORDER BY date ROWS 59 PRECEDING)")
 _add("win04_trend", lambda s, d: rounded(S.trend(panel(s, d), 20).select("pair_id", "date", "trend")), " SELECT pair_id, date, round(fx / lag(fx, 20) OVER (PARTITION BY pair_id ORDER BY date) - 1, 6) trend FROM panel")
-_add("win05_dollar_volume", lambda s, d: rounded(R.dollar_volume(daily_bars(s, d), daily_fx(s, d)), 4),
+_add("win05_dollar_volume", lambda s, d: rounded(R.dollar_volume(daily_bars(s, d), daily_fx(s, d))),
      """, u AS (
   SELECT pair_id, leg, date, close * volume / CASE WHEN leg = 'N' THEN last_value(fx IGNORE NULLS) OVER (PARTITION BY pair_id, leg ORDER BY date ROWS UNBOUNDED PRECEDING) ELSE 1 END AS usd
   FROM bars LEFT JOIN fx USING (date) WHERE leg IN ('A', 'N')),
 a AS (SELECT *, CASE WHEN count(usd) OVER w >= 3 THEN avg(usd) OVER w END AS adv FROM u WINDOW w AS (PARTITION BY pair_id, leg ORDER BY date ROWS 19 PRECEDING))
-SELECT pair_id, leg, date, round(adv, 4) AS adv FROM a WHERE adv IS NOT NULL""")
+SELECT pair_id, leg, date, round(adv, 6) AS adv FROM a WHERE adv IS NOT NULL""")
 _add("win06_trailing_rank", lambda s, d: rounded(S.trailing_rank(panel(s, d), 250, 60).select("pair_id", "date", "rank", "state")),
      ", r AS (SELECT a.pair_id, a.date, count(*) k, (count_if(b.pi <= a.pi) - 1) / (count(*) - 1) AS rank FROM panel a JOIN panel b ON a.pair_id = b.pair_id AND b.rn BETWEEN a.rn - 249 AND a.rn GROUP BY 1, 2), q AS (SELECT pair_id, date, CASE WHEN k >= 60 THEN rank END AS rank FROM r) SELECT pair_id, date, round(rank, 6) AS rank, CASE WHEN rank <= 1.0 / 3 THEN 'low' WHEN rank <= 2.0 / 3 THEN 'normal' WHEN rank IS NOT NULL THEN 'tight' END state FROM q")
 _add("win10_forward", lambda s, d: rounded(S.forward(panel(s, d), 20).select("pair_id", "date", "target", "log_change", "peak")),

@@ -66,7 +66,7 @@ def _charts(s, d):
     bar = f"struct(date, copy, epoch, {price('high')} AS high, {price('low')} AS low, {price('close')} AS close, double(volume) AS volume)"
     years = rows.groupBy("pair_id", "zone", F.year("date").alias("year")).agg(F.expr(f"array_sort(collect_list({bar}))").alias("b"))
     quote = "array(named_struct('open', b.high, 'high', b.high, 'low', b.low, 'close', b.close, 'volume', b.volume))"
-    adjusted = "if(year % 2 = 0, null, array(named_struct('adjclose', transform(b.close, c -> c / 7))))"
+    adjusted = "if(year % 2 = 0, null, array(named_struct('adjclose', transform(b.close, c -> c * 0.918273645D))))"
     stamps = "if(year = 1997, array(), b.epoch)"
     result = f"named_struct('meta', named_struct('exchangeTimezoneName', zone), 'timestamp', {stamps}, 'indicators', named_struct('quote', {quote}, 'adjclose', {adjusted}))"
     years = years.selectExpr("concat_ws('|', pair_id, year) AS source", "pair_id", "year", f"to_json(named_struct('chart', named_struct('result', if(year = 1999, array(), array({result})))), map('ignoreNullFields', 'false')) AS json")
@@ -75,7 +75,7 @@ def _charts(s, d):
 
 _add("src11_charts", _charts, f"""WITH {BASE},
 b AS (SELECT pair_id || '|' || year(date) AS source, *, year(date) = 1998 AND pair_id LIKE 'A%' AS cut FROM bars WHERE leg = 'N')
-SELECT source, date, round(high, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(CASE WHEN year(date) % 2 = 0 THEN close ELSE close / 7 END, 6) AS adj_close,
+SELECT source, date, round(high, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(CASE WHEN year(date) % 2 = 0 THEN close ELSE close * 0.918273645::DOUBLE END, 6) AS adj_close,
   CAST(volume AS DOUBLE) AS volume, NULL AS fault FROM b WHERE NOT cut AND day(date) <> 10 AND year(date) NOT IN (1997, 1999)
 UNION ALL SELECT DISTINCT source, NULL::DATE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, CASE WHEN cut THEN 'malformed' ELSE 'empty' END FROM b WHERE cut OR year(date) = 1999""")
 

@@ -58,8 +58,8 @@ _ADV = """, u AS (
 a AS (SELECT *, CASE WHEN count(usd) OVER w >= 3 THEN avg(usd) OVER w END AS adv FROM u WINDOW w AS (PARTITION BY pair_id, leg ORDER BY date ROWS 19 PRECEDING)),
 adv AS (SELECT pair_id, leg, count(adv) AS n, min(date) AS first_date, max(date) AS last_date, arg_max(adv, date) AS adv FROM a WHERE adv IS NOT NULL GROUP BY 1, 2)"""
 _adv = lambda s, d: R.dollar_adv(daily_bars(s, d), daily_fx(s, d))
-_add("agg37_dollar_adv", lambda s, d: rounded(_adv(s, d), 4),
-     _ADV + " SELECT pair_id, leg, n, first_date, last_date, round(adv, 4) adv, CASE WHEN n < 60 THEN 'recent' ELSE 'deep' END caveat FROM adv")
+_add("agg37_dollar_adv", lambda s, d: rounded(_adv(s, d)),
+     _ADV + " SELECT pair_id, leg, n, first_date, last_date, round(adv, 6) adv, CASE WHEN n < 60 THEN 'recent' ELSE 'deep' END caveat FROM adv")
 _SIDES = _ADV + """, e AS (SELECT pair_id, max(adv) FILTER (leg = 'A') a, max(adv) FILTER (leg = 'N') l FROM adv GROUP BY 1),
 g AS (SELECT pair_id, size_usd, bp, size_usd / (a * bp / 10000) da, size_usd / (l * bp / 10000) dl FROM e, (SELECT unnest([25e6, 100e6, 1e9])::DOUBLE size_usd), (SELECT unnest([500, 1000, 2000]) bp))"""
 _add("agg38_days_to_unwind", lambda s, d: rounded(R.days_to_unwind(_adv(s, d), SIZES, SHARES), 3),
