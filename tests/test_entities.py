@@ -19,7 +19,7 @@ def test_containing_equals_all_pairs(spark):
 
 
 def test_prefix_before_substring_and_vehicles_last(spark):
-    names = [(1, "POTRERO CAPITAL RESEARCH LLC"), (2, "CAPITAL RESEARCH GLOBAL FUND"), (3, "CAPITAL RESEARCH & MANAGEMENT CO"), (4, "CAPITAL RESEARCH"), (5, "A CAPITAL RESEARCH"), (6, "Other")]
+    names = [(1, "NORTHERN CAPITAL RESEARCH LLC"), (2, "CAPITAL RESEARCH GLOBAL FUND"), (3, "CAPITAL RESEARCH & MANAGEMENT CO"), (4, "CAPITAL RESEARCH"), (5, "A CAPITAL RESEARCH"), (6, "Other")]
     got = E.candidates(spark.createDataFrame(names, "id int, name string"), spark.createDataFrame([("Capital, Research.",)], "needle string"), 4).orderBy("rank").collect()
     assert [(r["id"], r["rank"]) for r in got] == [(4, 1), (3, 2), (2, 3), (5, 4)]
 
