@@ -107,9 +107,10 @@ def two_proportions(cells: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when((F.col("n1") < 10) | (F.col("n2") < 10), "UNTESTABLE").when(held, "HELD").otherwise("NULL")).drop("se")
 
 
-def mantel_haenszel(tables: DataFrame) -> DataFrame:
-    """Pooled odds ratio and continuity-corrected chi-square over strata(a, b, c, d); empty strata don't count."""
+def mantel_haenszel(tables: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Pooled odds ratio and continuity-corrected chi-square over strata(a, b, c, d), for each ``by``; empty strata don't count."""
+    by = by or []
     s = tables.withColumn("n", F.expr("cast(a + b + c + d as double)")).where("n > 0")
-    s = s.agg(F.sum(F.expr("a * d / n")).alias("up"), F.sum(F.expr("b * c / n")).alias("down"), F.sum("a").alias("seen"), F.sum(F.expr("(a + b) * (a + c) / n")).alias("expected"), F.sum(F.expr("if(n > 1, (a + b) / n * (c + d) / n * (a + c) * (b + d) / (n - 1), 0)")).alias("var"), F.count("*").alias("strata"))
+    s = s.groupBy(*by).agg(F.sum(F.expr("a * d / n")).alias("up"), F.sum(F.expr("b * c / n")).alias("down"), F.sum("a").alias("seen"), F.sum(F.expr("(a + b) * (a + c) / n")).alias("expected"), F.sum(F.expr("if(n > 1, (a + b) / n * (c + d) / n * (a + c) * (b + d) / (n - 1), 0)")).alias("var"), F.count("*").alias("strata"))
     chi = F.when((F.col("down") > 0) & (F.col("var") > 0), F.pow(F.abs(F.col("seen") - F.col("expected")) - 0.5, 2) / F.col("var"))
-    return s.select("strata", F.when(chi.isNotNull(), F.col("up") / F.col("down")).alias("odds_ratio"), chi.alias("chi2"), normal_tail(F.sqrt(chi)).alias("p"))
+    return s.select(*by, "strata", F.when(chi.isNotNull(), F.col("up") / F.col("down")).alias("odds_ratio"), chi.alias("chi2"), normal_tail(F.sqrt(chi)).alias("p"))
