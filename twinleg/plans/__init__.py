@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import cells, decisions, entities, folds, landing, ledger, notes, panel, payloads, records, risk, trades
+from . import cells, decisions, diagnostics, entities, folds, guards, landing, ledger, notes, panel, payloads, records, risk, trades
 
 
 def queries() -> dict:
-    return panel.QUERIES | cells.QUERIES | notes.QUERIES | ledger.QUERIES | folds.QUERIES | decisions.QUERIES | landing.QUERIES | payloads.QUERIES | entities.QUERIES | records.QUERIES | risk.QUERIES | trades.QUERIES
+    return panel.QUERIES | diagnostics.QUERIES | guards.QUERIES | cells.QUERIES | notes.QUERIES | ledger.QUERIES | folds.QUERIES | decisions.QUERIES | landing.QUERIES | payloads.QUERIES | entities.QUERIES | records.QUERIES | risk.QUERIES | trades.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return panel.ORACLES | cells.ORACLES | notes.ORACLES | ledger.ORACLES | folds.ORACLES | decisions.ORACLES | landing.ORACLES | payloads.ORACLES | entities.ORACLES | records.ORACLES | risk.ORACLES | trades.ORACLES
+    return panel.ORACLES | diagnostics.ORACLES | guards.ORACLES | cells.ORACLES | notes.ORACLES | ledger.ORACLES | folds.ORACLES | decisions.ORACLES | landing.ORACLES | payloads.ORACLES | entities.ORACLES | records.ORACLES | risk.ORACLES | trades.ORACLES

@@ -85,7 +85,7 @@ def _arms(arms: dict[str, list[str]]) -> str:
     for arm, cs in arms.items():
         out += _elimination(f"s_{arm}_", "fits", cs, "1e-4", keys)
         guess = " + ".join(["m_y", *(f"({c} - m_{c}) * a{i}{len(cs)}" for i, c in enumerate(cs))])
-        guesses.append(f"SELECT {keys}, y, level, '{arm}' AS arm, {guess} AS guess FROM frame JOIN fits USING ({keys}) JOIN s_{arm}_{len(cs)} USING ({keys}) WHERE role = 'test'")
+        guesses.append(f"SELECT {keys}, rn, y, level, '{arm}' AS arm, {guess} AS guess FROM frame JOIN fits USING ({keys}) JOIN s_{arm}_{len(cs)} USING ({keys}) WHERE role = 'test'")
     return out + ",\nguesses AS (" + " UNION ALL ".join(guesses) + ")"
 
 
@@ -172,27 +172,31 @@ def _random(s, d, features, shrinkages):
     return rounded(D.fold_scores(D.random_features(frame, features, shrinkages), _regime(), ["h", "p", "shrinkage"]))
 
 
-def _random_sql() -> str:
+def _random_guesses(features: list[int] = FEATURES, shrinkages: list[float] = SHRINKAGES, seeds: tuple[str, ...] = ()) -> str:
+    """The fold table of the random features and their guesses."""
     rounds = "lambda v, i: CASE WHEN i = 1 THEN v * (2 * v + 1) % 2147483648 ELSE xor(v, v >> 15) END"
     uniform = lambda n: f"((list_reduce([({n} * 40503 + salt) % 2147483648, 1, 2, 1, 2, 1, 2], {rounds}) + 0.5) / 2147483648)"
-    out = _folded("change", False, cap=CAP).replace(str(HORIZONS), "[20]") + f""",
+    out = _folded("change", False, seeds, cap=CAP).replace(str(HORIZONS), "[20]") + f""",
 scaled AS (
   SELECT frame.*, (x - avg(x) FILTER (role = 'train') OVER k) / (stddev_pop(x) FILTER (role = 'train') OVER k + 1e-12) AS u, avg(y) FILTER (role = 'train') OVER k AS m_y,
     (20260729 + CAST('0x' || substr(md5(pair_id), 1, 6) AS BIGINT) + 7919 * fold + 104729 * p) % 2147483648 AS salt, p
-  FROM frame, (SELECT unnest({FEATURES}) AS p) WINDOW k AS (PARTITION BY pair_id, h, seed, fold, p))"""
+  FROM frame, (SELECT unnest({features}) AS p) WINDOW k AS (PARTITION BY pair_id, h, seed, fold, p))"""
     guesses = []
-    for p in FEATURES:
+    for p in features:
         z = [f"sqrt(2.0 / {p}) * cos(u * sqrt(-2 * ln({uniform(3 * j)})) * cos(2 * pi() * {uniform(3 * j + 1)}) + 2 * pi() * {uniform(3 * j + 2)}) AS z{j}" for j in range(p)]
         cross = [f"sum(z{i} * z{j}) AS c_z{i}_z{j}" for i in range(p) for j in range(i, p)] + [f"sum(z{i} * (y - m_y)) AS c_z{i}_y" for i in range(p)]
         keys = "pair_id, h, seed, fold, shrinkage"
         out += f""",
 z{p} AS (SELECT *, {', '.join(z)} FROM scaled WHERE p = {p}),
-t{p} AS (SELECT {keys}, {', '.join(cross)} FROM z{p}, (SELECT unnest({SHRINKAGES})::DOUBLE AS shrinkage) WHERE role = 'train' GROUP BY ALL)"""
+t{p} AS (SELECT {keys}, {', '.join(cross)} FROM z{p}, (SELECT unnest({shrinkages})::DOUBLE AS shrinkage) WHERE role = 'train' GROUP BY ALL)"""
         out += _elimination(f"e{p}_", f"t{p}", [f"z{j}" for j in range(p)], "shrinkage", keys)
         guess = " + ".join(["m_y", *(f"z{j} * a{j}{p}" for j in range(p))])
-        guesses.append(f"SELECT pair_id, h, {p} AS p, shrinkage, y, level, {guess} AS guess FROM z{p} JOIN e{p}_{p} USING (pair_id, h, seed, fold) WHERE role = 'test'")
-    out += ",\nguesses AS (" + " UNION ALL ".join(guesses) + ")" + _scores("h, p, shrinkage")
-    return out + " SELECT CAST(h AS BIGINT) AS h, CAST(p AS BIGINT) AS p, shrinkage, regime, n, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(hit_rate, 6) AS hit_rate FROM scores"
+        guesses.append(f"SELECT pair_id, h, seed, fold, rn, {p} AS p, shrinkage, y, level, {guess} AS guess FROM z{p} JOIN e{p}_{p} USING (pair_id, h, seed, fold) WHERE role = 'test'")
+    return out + ",\nguesses AS (" + " UNION ALL ".join(guesses) + ")"
+
+
+def _random_sql() -> str:
+    return _random_guesses() + _scores("h, p, shrinkage") + " SELECT CAST(h AS BIGINT) AS h, CAST(p AS BIGINT) AS p, shrinkage, regime, n, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(hit_rate, 6) AS hit_rate FROM scores"
 
 
 _add("fit03_random_features", lambda s, d: _random(s, d, FEATURES, SHRINKAGES), _random_sql())

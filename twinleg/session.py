@@ -1,4 +1,4 @@
-"""Making the package importable in Python workers."""
+"""Making the package importable in Python workers, and cutting lineage."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -20,3 +20,11 @@ def ship(spark: SparkSession) -> None:
         shutil.copytree(root, base / root.name, ignore=shutil.ignore_patterns("__pycache__"))
         spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", base))
         _SHIPPED.add(app)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder that spark.checkpoint.dir names; where it is unset, as in tests, in one of our own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="twinleg-checkpoints-"))
+    return df.checkpoint()
