@@ -21,11 +21,12 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "markov"]
 
-#: A long token; the models' alphabet; added to every character's count; weight of these shares in
-#: the counts of what follows a character; the least log-likelihood ratio (in nats) of a further span.
+#: A long token; the models' alphabet; added to every character's count; weight of these shares in the counts of what follows a
+#: character, for ordinary and random strings (in the latter characters barely depend on the one before, so pairs seen by chance
+#: mustn't count for much); the least log-likelihood ratio (in nats) of a further span.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/_=-."
-SMOOTH, BACK, LEAST = 0.5, 10.0, 10.0
+SMOOTH, BACK, LEAST = 0.2, (10.0, 100.0), 10.0
 
 
 def rule_spans(text: str) -> Column:
@@ -46,11 +47,21 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def samples(found: DataFrame) -> DataFrame:
-    """Labelled samples from ``extract``: token, random (1: a rule's value, 0: a long token without digits)."""
+    """Labelled samples from ``extract``: token, random (1: a rule's value, 0: a long token without digits).
+
+    A corpus often writes its secrets in one alphabet, such as hexadecimal digits.  So that random strings in others are known
+    as random too, each value also stands as written in capitals, and its digest in base64, its URL form, letters and digits
+    of both cases, and of either case.  Repeated samples count once, so that one secret in many documents doesn't make its own
+    characters the model.
+    """
     value = F.when(F.col("x.kind") == "assign", F.regexp_extract("x.hit", ASSIGN, 2)).otherwise(F.col("x.hit"))
-    secret = found.select(F.explode("rule_spans").alias("x")).select(value.alias("token"), F.lit(1).alias("random"))
-    plain = found.select(F.explode("token_spans").alias("x")).where("not x.hit rlike '[0-9]'").select(F.col("x.hit").alias("token"), F.lit(0).alias("random"))
-    return secret.unionAll(plain)
+    values = found.select(F.explode("rule_spans").alias("x")).select(value.alias("v")).distinct()
+    mixed = F.rtrim(F.base64(F.unhex(F.sha2("v", 256))), F.lit("="))
+    plain = F.regexp_replace(mixed, "[+/]", "")
+    forms = values.select("v", mixed.alias("m"), plain.alias("p"))
+    secret = forms.select(F.explode(F.array("v", F.upper("v"), "m", F.translate("m", "+/", "-_"), "p", F.lower("p"), F.upper("p"))).alias("token"), F.lit(1).alias("random"))
+    ordinary = found.select(F.explode("token_spans").alias("x")).where("not x.hit rlike '[0-9]'").select(F.col("x.hit").alias("token"), F.lit(0).alias("random")).distinct()
+    return secret.unionAll(ordinary)
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -72,8 +83,8 @@ def train(labelled: DataFrame) -> list[float]:
         shares.append([x / sum(column) for x in column])
     out = []
     for line in table:
-        total = [sum(c[k] for c in line) + BACK for k in (0, 1)]
-        out += [round(log((c[0] + BACK * shares[0][j]) / total[0]) - log((c[1] + BACK * shares[1][j]) / total[1]), 9) for j, c in enumerate(line)]
+        total = [sum(c[k] for c in line) + BACK[1 - k] for k in (0, 1)]
+        out += [round(log((c[0] + BACK[1] * shares[0][j]) / total[0]) - log((c[1] + BACK[0] * shares[1][j]) / total[1]), 9) for j, c in enumerate(line)]
     return out
 
 
