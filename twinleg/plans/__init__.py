@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import cells, decisions, diagnostics, entities, folds, guards, landing, ledger, notes, panel, payloads, records, risk, trades
+from . import carry, cells, decisions, diagnostics, entities, folds, guards, landing, ledger, notes, panel, payloads, records, risk, trades
+
+_MODULES = (panel, diagnostics, guards, cells, notes, ledger, folds, decisions, landing, payloads, entities, records, risk, trades, carry)
 
 
 def queries() -> dict:
-    return panel.QUERIES | diagnostics.QUERIES | guards.QUERIES | cells.QUERIES | notes.QUERIES | ledger.QUERIES | folds.QUERIES | decisions.QUERIES | landing.QUERIES | payloads.QUERIES | entities.QUERIES | records.QUERIES | risk.QUERIES | trades.QUERIES
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return panel.ORACLES | diagnostics.ORACLES | guards.ORACLES | cells.ORACLES | notes.ORACLES | ledger.ORACLES | folds.ORACLES | decisions.ORACLES | landing.ORACLES | payloads.ORACLES | entities.ORACLES | records.ORACLES | risk.ORACLES | trades.ORACLES
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
