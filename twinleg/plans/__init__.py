@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import carry, cells, decisions, diagnostics, entities, folds, guards, landing, ledger, notes, panel, payloads, records, risk, trades
+from . import carry, cells, decisions, diagnostics, entities, folds, guards, landing, ledger, notes, panel, payloads, records, risk, trades, variants
 
-_MODULES = (panel, diagnostics, guards, cells, notes, ledger, folds, decisions, landing, payloads, entities, records, risk, trades, carry)
+_MODULES = (panel, diagnostics, guards, cells, notes, ledger, folds, decisions, landing, payloads, entities, records, risk, trades, carry, variants)
 
 
 def queries() -> dict:

@@ -28,3 +28,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="twinleg-checkpoints-"))
     return df.checkpoint()
+
+
+def registry(df, row_bytes: int = 256, most: int = 16 << 20):
+    """``df`` marked for broadcast if, counted, it takes at most ``most`` bytes at ``row_bytes`` a row, else for a join by sorting
+    (whose skewed partitions Spark splits)."""
+    from pyspark.sql import functions as F
+
+    rows = most // row_bytes
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
