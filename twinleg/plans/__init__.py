@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import carry, cells, decisions, diagnostics, entities, folds, guards, landing, ledger, lending, notes, panel, payloads, persistence, records, risk, trades, variants
+from . import carry, cells, decisions, diagnostics, entities, folds, guards, landing, ledger, lending, notes, panel, payloads, persistence, records, risk, screens, trades, variants
 
-_MODULES = (panel, diagnostics, guards, cells, notes, ledger, folds, decisions, landing, payloads, entities, records, risk, trades, carry, variants, persistence, lending)
+_MODULES = (panel, diagnostics, guards, cells, notes, ledger, folds, decisions, landing, payloads, entities, records, risk, trades, carry, variants, persistence, lending, screens)
 
 
 def queries() -> dict:
