@@ -45,7 +45,7 @@ def _add(name: str, query, body: str) -> None:
 
 _whole = lambda s, d: P.pooled_path(_walk(s, d), _regime(), GRID)
 _add("agg12_pooled_errors", lambda s, d: rounded(P.pooled_path(panel(s, d), _regime(), GRID), 5),
-     _path("panel", _CLASS, True) + """ SELECT regime, h, pairs, n, round(rho, 5) AS rho, round(alpha, 5) AS alpha, round(r2, 5) AS r2, round(se, 5) AS se, round(rho / nullif(se, 0), 5) AS t,
+     _path("panel", _CLASS, True) + """ SELECT regime, h, pairs, n, round(rho, 5) AS rho, CASE WHEN abs(alpha) < 5e-6 THEN 0 ELSE round(alpha, 5) END AS alpha, round(r2, 5) AS r2, round(se, 5) AS se, round(rho / nullif(se, 0), 5) AS t,
   round(spans, 5) AS spans, spans >= 12 AS identified FROM pth""")
 _add("agg14_regime_half_lives", lambda s, d: rounded(P.regime_half_lives(_whole(s, d)), 4),
      _WALK + _path("walk", _CLASS, True) + _HL + " SELECT * EXCLUDE (pair_id), pair_id AS regime FROM hl")
