@@ -1,6 +1,7 @@
 """Manager screens by hand."""
 
 import datetime as dt
+import os
 
 import pytest
 
@@ -60,3 +61,33 @@ def test_absence_is_stated(spark, holdings):
     assert got["a"] == ("Liberty One: 2/3 quarters", 4.0, 3, 13.0, "liberty", "2024-04-01", "Ant LLC", "2 named: TWO, ONE")
     assert got["c"] == ("none", 0.0, 1, 3.0, "none", C.NO_OWNER, C.NO_ADVISER, C.NO_BROKER)
     assert got["n"] == (C.NO_FILING, None, None, None, C.NO_FILING, C.NO_OWNER, C.NO_ADVISER, C.NO_BROKER) and len(got) == 3
+
+
+def test_families_come_with_the_books_from_one_pass(spark, holdings):
+    watch = spark.createDataFrame([("LIBERTY ONE",)], "needle string")
+    legs = spark.createDataFrame([("liberty", "LIBERTY ONE"), ("liberty", "LIBERTY TWO"), (None, "APPLE"), (None, "LIBERTY ONE")], "family string, leg string")
+    managers = spark.createDataFrame([("a",), ("b",), ("c",), ("n",)], "manager string")
+    none = spark.createDataFrame([], "manager string, filed_on date, firm string, name string")
+    sources = (none, none, C.common_brokers(none, "NONE"))
+    apart = C.manager_screen(managers, C.watched_books(holdings, watch), C.families(holdings, legs), *sources)
+    at_once = C.manager_screen(managers, C.books_with_families(holdings, watch, legs), None, *sources)
+    assert sorted(map(tuple, at_once.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+    assert {r["manager"]: r["families"] for r in at_once.collect()} == {"a": "liberty", "b": "none", "c": "none", "n": C.NO_FILING}
+
+
+def test_issuers_may_be_known_by_keys(spark):
+    issuers = spark.createDataFrame([(1, "LIBERTY ONE"), (2, "LIBERTY TWO"), (3, "LIBERTY ONE"), (4, None)], "issuer long, name string")
+    rows = spark.createDataFrame([("a", Q[0], 1, 2.0), ("a", Q[0], 3, 3.0), ("b", Q[0], 1, 1.0), ("b", Q[0], 2, 1.0), ("b", Q[0], 4, 1.0), ("b", Q[0], None, 1.0)], "manager string, quarter date, issuer long, value double")
+    legs = spark.createDataFrame([("liberty", "LIBERTY ONE"), ("liberty", "LIBERTY TWO")], "family string, leg string")
+    assert [tuple(r) for r in C.families(rows, legs, issuers).collect()] == [("b", Q[0], "liberty", "LIBERTY ONE, LIBERTY TWO", 4)]
+    books = {r["manager"]: (r["watched_value"], r["breadth"], r["book"]) for r in C.watched_books(rows, spark.createDataFrame([("liberty one",)], "needle string"), issuers).collect()}
+    assert books == {"a": (5.0, 2, 5.0), "b": (1.0, 4, 4.0)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["join19_manager_screen"])
+def test_line_items_are_read_once(spark, name):
+    from twinleg.plans import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinleg.operators import screens as C
 from twinleg.plans.panel import rounded
+from twinleg.session import cut_lineage, registry
 from twinleg.sources.tables import read
 
 QUERIES: dict = {}
@@ -13,6 +14,7 @@ ORACLES: dict[str, str] = {}
 WATCH = ["Small Ring", "brand#21"]
 LEGS = [("colours", "RED WIDGET"), ("colours", "BLUE WIDGET"), ("rings", "SMALL RING"), ("rings", "RED RING"), ("rings", "BLUE RING"), ("brands", "BRAND#1"), ("brands", "BRAND#2")]
 NOISE = "4-NOT|NONE"
+_ISSUER = "upper(p_name || ' ' || p_brand)"
 
 
 def _add(name: str, query, body: str) -> None:
@@ -20,23 +22,43 @@ def _add(name: str, query, body: str) -> None:
 
 
 def _items(s, d):
-    parts = read(s, d, "part").select("p_partkey", F.expr("upper(p_name || ' ' || p_brand)").alias("issuer"), "p_brand")
+    parts = read(s, d, "part").select("p_partkey", "p_brand")
     return read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_returnflag", "l_extendedprice").join(parts.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
 
 
-def _holdings(s, d):
-    """(manager, quarter, issuer, value): the items of a customer's orders, a row for each issuer and quarter of shipping."""
+def _issuers(s, d):
+    """(issuer, name): an issuer is known by the least key of the parts of its name."""
+    return cut_lineage(read(s, d, "part").groupBy(F.expr(_ISSUER).alias("name")).agg(F.min("p_partkey").alias("issuer")).where("name is not null"))
+
+
+def _holdings(s, d, issuers):
+    """(manager, quarter, issuer, value): the items of a customer's orders, a row for each issuer and quarter of shipping.
+
+    Rows of numbers only are joined and dealt once, by manager and quarter, for the sums by issuer and those by quarter.
+    """
+    parts = read(s, d, "part").select("p_partkey", F.expr(_ISSUER).alias("name")).join(registry(issuers), "name", "left").select("p_partkey", "issuer")
     orders = read(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("manager"))
-    rows = _items(s, d).join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy("manager", F.date_trunc("quarter", "l_shipdate").cast("date").alias("quarter"), "issuer").agg(F.sum("l_extendedprice").alias("value"))
+    items = read(s, d, "lineitem").select("l_orderkey", "l_partkey", F.date_trunc("quarter", "l_shipdate").cast("date").alias("quarter"), "l_extendedprice")
+    rows = items.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).join(registry(parts, 64), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select("manager", "quarter", "issuer", "l_extendedprice").repartition("manager", "quarter").groupBy("manager", "quarter", "issuer").agg(F.sum("l_extendedprice").alias("value"))
 
 
 def _watch(s):
     return s.createDataFrame([(w,) for w in WATCH], "needle string")
 
 
+def _legs(s):
+    return s.createDataFrame(LEGS, "family string, leg string")
+
+
 def _families(s, d):
-    return C.families(_holdings(s, d), s.createDataFrame(LEGS, "family string, leg string"))
+    issuers = _issuers(s, d)
+    return C.families(_holdings(s, d, issuers), _legs(s), issuers)
+
+
+def _books(s, d):
+    issuers = _issuers(s, d)
+    return C.watched_books(_holdings(s, d, issuers), _watch(s), issuers)
 
 
 def _owners(s, d):
@@ -48,7 +70,7 @@ def _brokers(s, d):
 
 
 def _fits(s, d):
-    books = C.watched_books(_holdings(s, d), _watch(s)).select("manager", F.expr("watched_quarters / quarters").alias("score"), F.col("book").alias("capacity"))
+    books = _books(s, d).select("manager", F.expr("watched_quarters / quarters").alias("score"), F.col("book").alias("capacity"))
     owners = _owners(s, d).select("manager", F.lit(True).alias("has_local")).distinct()
     rows = read(s, d, "customer").select(F.col("c_custkey").alias("manager"), F.expr("c_mktsegment in ('MACHINERY', 'BUILDING')").alias("may_short"))
     return rounded(C.best_fits(rows.join(books.hint("merge"), "manager").join(owners.hint("merge"), "manager", "left")), 4)
@@ -56,7 +78,9 @@ def _fits(s, d):
 
 def _screen(s, d):
     advisers = read(s, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("manager"), F.concat_ws(", ", "c_name", "c_mktsegment").alias("firm"))
-    return rounded(C.manager_screen(read(s, d, "customer").select(F.col("c_custkey").alias("manager")), C.watched_books(_holdings(s, d), _watch(s)), _families(s, d), _owners(s, d), advisers, _brokers(s, d)), 2)
+    issuers = _issuers(s, d)
+    books = C.books_with_families(_holdings(s, d, issuers), _watch(s), _legs(s), issuers)
+    return rounded(C.manager_screen(read(s, d, "customer").select(F.col("c_custkey").alias("manager")), books, None, _owners(s, d), advisers, _brokers(s, d)), 2)
 
 
 _HELD = """WITH held AS (SELECT o_custkey AS manager, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter, upper(p_name || ' ' || p_brand) AS issuer, sum(l_extendedprice) AS value
@@ -71,7 +95,7 @@ bk AS (SELECT manager, max(quarter) AS newest, count(*) AS quarters, count(watch
 _BROKERS = """bc AS (SELECT o_custkey AS manager, o_orderpriority AS name, count(*) AS times, count(*) OVER (PARTITION BY o_custkey) AS brokers FROM orders WHERE NOT starts_with(o_orderpriority, '4-NOT') GROUP BY 1, 2),
 br AS (SELECT *, row_number() OVER (PARTITION BY manager ORDER BY times DESC, name) AS rank FROM bc QUALIFY rank <= 3)"""
 _add("agg47_families", lambda s, d: rounded(_families(s, d)), _FAMILIES + " SELECT manager, quarter, family, legs, breadth FROM fm JOIN bd USING (manager, quarter)")
-_add("agg48_watched_books", lambda s, d: rounded(C.watched_books(_holdings(s, d), _watch(s)), 2),
+_add("agg48_watched_books", lambda s, d: rounded(_books(s, d), 2),
      _BOOKS + " SELECT manager, newest, quarters, watched_quarters, round(watched_value, 2) AS watched_value, names, breadth, round(book, 2) AS book FROM bk")
 _add("agg49_pull_manifest", lambda s, d: rounded(C.pull_manifest(_items(s, d).where("l_returnflag = 'R'").select(F.col("p_brand").alias("issuer"), F.col("l_shipdate").cast("date").alias("filed_on")), read(s, d, "part").select(F.explode(F.array("p_brand", F.concat("p_brand", F.lit("x")))).alias("issuer")))),
      """WITH asked AS (SELECT DISTINCT unnest([p_brand, p_brand || 'x']) AS issuer FROM part), f AS (SELECT p_brand AS issuer, count(*) AS rows, min(l_shipdate)::DATE AS first_date, max(l_shipdate)::DATE AS last_date
