@@ -85,7 +85,7 @@ def test_issuers_may_be_known_by_keys(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
-@pytest.mark.parametrize("name", ["join19_manager_screen", "agg48_watched_books", "agg47_families"])
+@pytest.mark.parametrize("name", ["join19_manager_screen", "agg48_watched_books", "agg47_families", "top01_best_fits"])
 def test_line_items_are_read_once(spark, name):
     from twinleg.plans import queries
 
