@@ -8,8 +8,10 @@ The nodes that hold one prefix shingle are a block; blocks of the same nodes are
 kept with their sets, and blocked again under the other orders.  A candidate pair shares a block under every order, and its
 sizes and parity masks leave room for the similarity; then the sets are verified exactly.  First, in a few rounds, every node
 asks the hubs of its blocks, at most one of them, which is linear; then, where a block still spans several components, tasks
-of bounded slabs compare across its components and give only the pairs that pass every filter.  Pairs within a component need
-no check, so a group of copies is never expanded into all its pairs.
+of bounded slabs compare across its components and give a smallest forest of the pairs that pass every filter, less than a pair a
+node.  If all of a forest's pairs are similar, no candidate is left across components; else the next forest leaves out the pairs
+tried, and after FORESTS of them all pairs still open are given.  Pairs within a component need no check, so a group of copies is
+never expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 from .bpe import mixed, powers
 from .common import connected_components, discard, schema_with, small, written
 
-#: Orders, largest size of the table of frequent shingles, documents that make a shingle frequent, rounds of hubs, nodes of a
-#: small block and of a slab, and posts of a frequent shingle that are dealt together.
-ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FEW, SLAB, CELL = 3, 400_000, 16, 2, 32, 2048, 1 << 16
+#: Orders, largest size of the table of frequent shingles, documents that make a shingle frequent, rounds of hubs and of forests, nodes
+#: of a small block and of a slab, and posts of a frequent shingle that are dealt together.
+ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FORESTS, FEW, SLAB, CELL = 3, 400_000, 16, 2, 4, 32, 2048, 1 << 16
 #: Bytes of text that are hashed at once, shingles among which repeats are looked for, and counts that a task holds.
 CHUNK, COUNTED, COUNTS = 1 << 18, 1 << 19, 1 << 18
 #: Names of the parts of a set's parity mask: 512 bits, each flipped by the shingles that fall on it.
@@ -303,47 +305,86 @@ def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFram
     return out
 
 
-def across(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Of one block's slabs x and y the pairs of different components whose sizes and masks leave room for the similarity.
-
-    Of the commonest component only the pairs with others are tried.
-    """
-    x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
-    table = table.combine_chunks()
-    own, n, label = (table.column(c).to_numpy() for c in ("own", "n", "label"))
-    a, b = [], []
-    _, label = np.unique(label, return_inverse=True)
-    common = np.bincount(label).argmax()
-    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-    if x == y:
-        left = left[label[left] != common]
-    if len(left) and len(right):
-        mask = np.stack([table.column(k).to_numpy() for k in PARITY], 1).view(np.uint64)
-        for i in left.tolist():
-            j = right[label[right] != label[i]]
-            if x == y:
-                j = j[(j > i) | (label[j] == common)]
-            j = j[np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num]
+class _Slabs:
+    """One block's slabs x and y: of a node its possible partners, nodes of other components whose sizes and masks leave room for the
+    similarity and that weren't tried (``no``: hashes of those that were)."""
+
+    def __init__(self, table: pa.Table, num: int, den: int):
+        table = table.combine_chunks()
+        column = lambda c: table.column(c).to_numpy()
+        self.num, self.den = num, den
+        self.node, self.n, self.label, self.hash, self.own = table.column("node").combine_chunks(), column("n"), column("label"), column("hash"), column("own")
+        self.apart = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+        self.mask = np.stack([column(k) for k in PARITY], 1).view(np.uint64)
+        self.wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(self.n), -1)
+        self.no = table.column("no").combine_chunks()
+
+    def partners(self, i: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Partners of node ``i`` among ``of``, and the share of its and their shingles that differ, as far as masks tell."""
+        n, m = self.n, self.n[i]
+        j = of[self.label[of] != self.label[i]]
+        if self.apart:
+            j = j[self.own[j] != self.own[i]]
+        j = j[np.minimum(n[j], m) * self.den >= np.maximum(n[j], m) * self.num]
+        for mask in (self.mask, self.wide):
             bits = np.bitwise_count(mask[j] ^ mask[i]).sum(1, dtype=np.int64)
-            j = j[bits * (den + num) <= (n[i] + n[j]) * (den - num)]
-            a += [i] * len(j)
-            b += j.tolist()
-    node = table.column("node").combine_chunks()
-    return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+            room = bits * (self.den + self.num) <= (m + n[j]) * (self.den - self.num)
+            j, bits = j[room], bits[room]
+        if self.no[i].is_valid:
+            new = ~np.isin(self.hash[j], self.no[i].values.to_numpy(zero_copy_only=False))
+            j, bits = j[new], bits[new]
+        return j, bits / (m + n[j])
+
+    def pairs(self, a: list[int], b: list[int]) -> pa.Table:
+        return pa.table({"a": self.node.take(pa.array(a, pa.int64())), "b": self.node.take(pa.array(b, pa.int64()))})
+
+
+def across(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one block's slabs x and y all pairs of possible partners."""
+    slabs, a, b = _Slabs(table, num, den), [], []
+    for i in range(len(slabs.n)):
+        j, _ = slabs.partners(i, np.arange(i + 1, len(slabs.n)))
+        a += [i] * len(j)
+        b += j.tolist()
+    return slabs.pairs(a, b)
+
+
+def forest(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one block's slabs x and y a smallest forest of the pairs of possible partners: it connects all components that these
+    pairs connect, with less than a pair a node.  The likeliest pairs come first, so that the blocks of a group give the same ones."""
+    slabs = _Slabs(table, num, den)
+    size = len(slabs.n)
+    cost, via = np.full(size, np.inf), np.full(size, -1)
+    rest, a, b = np.ones(size, bool), [], []
+    for _ in range(size):
+        at = np.flatnonzero(rest)
+        i = int(at[cost[at].argmin()])
+        if 0 <= cost[i] < np.inf:
+            a.append(int(via[i]))
+            b.append(i)
+        rest[i] = False
+        at = at[at != i]
+        cost[at[slabs.label[at] == slabs.label[i]]] = -1  # joined already
+        j, far = slabs.partners(i, at[cost[at] > 0])
+        nearer = far < cost[j]
+        cost[j[nearer]], via[j[nearer]] = far[nearer], i
+    return slabs.pairs(a, b)
 
 
 def partnered(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Of one block's slabs x and y the nodes that have a partner there whose size and mask leave room for the similarity."""
+    """Of one block's slabs x and y the nodes that have a partner there whose size and mask leave room for the similarity; with a
+    column ``label``, a partner of another one."""
     x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
     table = table.combine_chunks()
     own, n = table.column("own").to_numpy(), table.column("n").to_numpy()
+    label = table.column("label").to_numpy() if "label" in table.column_names else np.arange(len(n))
     mask = np.stack([table.column(k).to_numpy() for k in PARITY], 1).view(np.uint64)
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
     found = np.zeros(len(n), bool)
     for here, there in ((left, right), (right, left)) if x != y else ((left, right),):
         for i in here.tolist():
             if not found[i]:
-                j = there[(np.minimum(n[there], n[i]) * den >= np.maximum(n[there], n[i]) * num) & (there != i)]
+                j = there[(np.minimum(n[there], n[i]) * den >= np.maximum(n[there], n[i]) * num) & (label[there] != label[i])]
                 bits = np.bitwise_count(mask[j] ^ mask[i]).sum(1, dtype=np.int64)
                 j = j[bits * (den + num) <= (n[i] + n[j]) * (den - num)]
                 found[j] = True
@@ -426,14 +467,37 @@ def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, order
         discard(before, span, label)
     # blocks of few nodes are joined with themselves, larger ones cut into slabs of bounded size, every two of which meet once
     pairs = _meet(rows.join(small(span.where(f"size <= {FEW}").select("block")), "block"), num, den, "c <> d")
-    left = _slabs(rows.select("block", "node", "n", F.xxhash64("c").alias("label"), *PARITY), span)
-    met = left.groupBy("block", "x", "y").applyInArrow(lambda t: across(t, num, den), f"a {NODE}, b {NODE}")
-    pairs = pairs.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = written(pairs.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    found = connected_components(links.unionAll(_verified(shared(pairs), held, num, den)))
+    wide = held.select("node", "wide")
+    for turn in range(FORESTS + 1):
+        if turn:
+            label = connected_components(links)
+            before, rows = rows, rows.drop("c").join(small(label), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+            rows = written(rows, "blocks")
+            span = written(rows.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("block", "size"), "open")
+            discard(before, label)
+        left = rows.select("block", "node", "n", F.xxhash64("c").alias("label"), *PARITY)
+        # wide masks are dealt only for nodes that have a possible partner in another component
+        able = _slabs(left, span).groupBy("block", "x", "y").applyInArrow(lambda t: partnered(t, num, den), f"node {NODE}")
+        able = written(able.distinct(), "able")
+        ends = tried.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(tried.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        no = ends.groupBy("node").agg(F.collect_set(F.xxhash64("other")).alias("no"))
+        who = written(able.join(wide.hint("merge"), "node").join(no.hint("merge"), "node", "left"), "who")
+        left = left.join(small(span.where(f"size > {FEW}").select("block")), "block").join(who.hint("merge"), "node").withColumn("hash", F.xxhash64("node"))
+        sizes = written(left.groupBy("block").agg(F.count("*").alias("size")), "sizes")
+        slabs = _slabs(left, sizes.withColumn("size", F.greatest("size", F.lit(FEW + 1))))
+        met = slabs.groupBy("block", "x", "y").applyInArrow((lambda f: lambda t: f(t, num, den))(forest if turn < FORESTS else across), f"a {NODE}, b {NODE}")
+        met = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+        pairs = met if turn else written(pairs.unionAll(met).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        found = _verified(shared(pairs), held, num, den)
+        tried, links = tried.unionAll(pairs), links.unionAll(found)
+        done = met.join(found.hint("merge"), ["a", "b"], "left_anti").isEmpty()
+        discard(span, able, who, sizes)
+        if done:
+            break
+    found = connected_components(links)
     out = found.join(made.select("node", "s1", "s2").hint("merge"), "node").select("s1", "s2", F.col("component.d").alias("component"))
     out = written(out, "linked")
-    discard(seen, marked, size, alive, held, nodes, rows, span, pairs, found)
+    discard(seen, marked, size, alive, held, nodes, rows, found)
     return out
 
 
