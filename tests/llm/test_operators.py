@@ -200,6 +200,26 @@ def test_forests_equal_brute_force(monkeypatch, spark, forests):
     assert got == brute_groups(rows, 3, 4, 5)
 
 
+@pytest.mark.parametrize("whole", [0, 8, 512])
+def test_used_documents_leave_the_shards_index(monkeypatch, whole):
+    monkeypatch.setattr(packing, "WHOLE", whole)
+    rng = np.random.default_rng(11)
+    rows = [np.minimum(rng.geometric(0.03, int(rng.integers(1, 80))), 299).astype("<u2") for _ in range(90)]
+    idf, sets = rng.random(300) + 0.1, [np.bincount(r, minlength=300) for r in rows]
+    mean = sum(map(len, rows)) / len(rows)
+    shard = packing.Shard(rows, 300, idf, mean)
+    weight = np.array([idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(r) / mean)) for tf, r in zip(sets, rows, strict=True)])
+    used = []
+    for seed in rng.permutation(90)[:80].tolist():
+        shard.use(seed)
+        used.append(seed)
+        score = weight[:, sets[seed] > 0].sum(1)
+        score[used] = 0
+        got = shard.neighbours(seed, 5)
+        assert not set(got) & set(used) and np.allclose(score[got], np.sort(score)[::-1][: len(got)], rtol=1e-5) and len(got) == min(5, (score > 0).sum())
+    assert len(shard.indexed) < 45 and not set(shard.doc.tolist()) & set(used[:40])
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))

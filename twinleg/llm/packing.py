@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .bpe import codec
 from .common import written
 
-#: BM25 constants, rarest terms that deal a document, neighbours fetched at a time, and a shard's bounds.
-K1, B, KEYS, FETCH = 1.2, 0.75, 3, 48
+#: BM25 constants, rarest terms that deal a document, neighbours fetched at a time, most terms of whole rows, and a shard's bounds.
+K1, B, KEYS, FETCH, WHOLE = 1.2, 0.75, 3, 48, 512
 SHARD_DOCS, SHARD_TOKENS = 4096, 6_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,11 +46,12 @@ def _ids(blob: bytes, size: int) -> np.ndarray:
 
 def _terms(rows: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and frequency of each different term of each row, by row."""
-    owner = np.repeat(np.arange(len(rows), dtype=np.int64), [len(r) for r in rows])
-    key = owner * size + np.concatenate(rows)
+    kind = np.uint32 if len(rows) * size < 1 << 32 else np.int64  # narrow keys sort faster
+    key = np.repeat(np.arange(len(rows), dtype=kind) * kind(size), [len(r) for r in rows]) + np.concatenate(rows)
     key.sort()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[first] // size, key[first] % size, np.diff(np.r_[first, len(key)])
+    row, term = np.divmod(key[first], kind(size))
+    return row.astype(np.int64), term.astype(np.int64), np.diff(np.r_[first, len(key)])
 
 
 def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -105,7 +106,11 @@ def by_content(tokens: DataFrame, df: np.ndarray) -> DataFrame:
 
 
 class Shard:
-    """An inverted index over some documents, with corpus-wide weights."""
+    """An inverted index over some documents, with corpus-wide weights.
+
+    At most WHOLE terms, each of an eighth of the documents or more, are kept as whole rows of weights, the others as lists of their
+    documents.  Whenever half of the documents are used, these leave the index, which changes no score of the others.
+    """
 
     def __init__(self, rows: list[np.ndarray], size: int, idf: np.ndarray, mean: float):
         self.rows, self.n = rows, len(rows)
@@ -118,18 +123,41 @@ class Shard:
         self.doc, by_term = doc[order], term[order]
         self.weight = idf[by_term] * tf[order] * (K1 + 1) / (tf[order] + norm[self.doc])
         self.at = np.searchsorted(by_term, np.arange(size + 1))
-        self.idf = idf
-        self.free = np.ones(self.n, bool)
+        self.free, self.left, self.indexed = np.ones(self.n, bool), self.n, np.arange(self.n)
+        held = np.diff(self.at)
+        common = np.flatnonzero(held >= max(2, self.n / 8))
+        common = common[np.argsort(-held[common], kind="stable")[:WHOLE]]
+        self.whole, self.row = np.zeros((len(common), self.n), np.float32), np.full(size, -1)
+        self.row[common] = np.arange(len(common))
+        row = self.row[by_term]
+        self.whole[row[row >= 0], self.doc[row >= 0]] = self.weight[row >= 0]
+        self._keep((row < 0) & (held[by_term] > 1))
+
+    def _keep(self, posts: np.ndarray) -> None:
+        self.doc, self.weight, self.at = self.doc[posts], self.weight[posts], np.r_[0, np.cumsum(posts)][self.at]
+
+    def use(self, row: int) -> None:
+        """Take a document out of the answers."""
+        self.free[row] = False
+        self.left -= 1
+        if 2 * self.left < len(self.indexed):
+            self.whole = self.whole[:, self.free[self.indexed]]
+            self.indexed = np.flatnonzero(self.free)
+            self._keep(self.free[self.doc])
 
     def neighbours(self, seed: int, want: int) -> list[int]:
         """Unused documents by falling BM25 score for all terms of the seed, at most ``want``."""
         terms = self.terms[self.begin[seed] : self.begin[seed + 1]]
-        terms = terms[self.at[terms + 1] - self.at[terms] > 1]
-        if not len(terms):
-            return []
-        spans = [slice(self.at[t], self.at[t + 1]) for t in np.sort(terms).tolist()]
-        doc = np.concatenate([self.doc[s] for s in spans])
-        score = np.bincount(doc, np.concatenate([self.weight[s] for s in spans]), self.n) * self.free
+        score = np.zeros(self.n)
+        listed = terms[self.at[terms + 1] > self.at[terms]]
+        if len(listed):
+            posts = [slice(b, e) for b, e in zip(self.at[listed].tolist(), self.at[listed + 1].tolist(), strict=True)]
+            score = np.bincount(np.concatenate([self.doc[s] for s in posts]), np.concatenate([self.weight[s] for s in posts]), self.n)
+        total = np.zeros(len(self.indexed), np.float32)
+        for k in self.row[terms][self.row[terms] >= 0].tolist():
+            total += self.whole[k]
+        score[self.indexed] += total
+        score *= self.free
         found = np.flatnonzero(score > 0)
         if len(found) > want:
             found = found[np.argpartition(-score[found], want)[:want]]
@@ -154,7 +182,8 @@ class Shard:
                     seed = queue.pop()
                 else:
                     seed = asker = next(i for i in unused if self.free[i])
-                self.free[seed], start = False, 0
+                self.use(seed)
+                start = 0
             if room == window:
                 asker, queue = seed, self.neighbours(seed, FETCH)[::-1]
             if room == window and total < window:
