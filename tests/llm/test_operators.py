@@ -184,6 +184,50 @@ def test_used_documents_leave_the_shards_index(monkeypatch, whole):
     assert len(shard.indexed) < 45 and not set(shard.doc.tolist()) & set(used[:40])
 
 
+def slabs_of(sets, labels, own, x, y):
+    import pyarrow as pa
+
+    odd, rows = shingle_join.masks(sets), range(len(sets))
+    return pa.table({"node": pa.array([{"d": k, "s": k} for k in rows], pa.struct([("d", pa.int64()), ("s", pa.int64())])), "n": pa.array([len(s) for s in sets]), "label": pa.array(labels), "own": pa.array(own),
+                     **{c: pa.array(odd[:, i]) for i, c in enumerate(shingle_join.PARITY)}, "wide": pa.array([m.tobytes() for m in shingle_join.masks(sets, shingle_join.WIDE)], pa.binary()), "x": pa.array([x for _ in rows]), "y": pa.array([y for _ in rows])})
+
+
+def ends(table):
+    return [(r["a"]["d"], r["b"]["d"]) for r in table.to_pylist()]
+
+
+def test_slabs_join_components_by_fewer_pairs_than_nodes():
+    rng = np.random.default_rng(9)
+    base = rng.integers(1 << 62, size=200).astype(np.uint64)
+    # copies of two texts; a third of them are two components already
+    sets = [np.unique(np.r_[base[100 * (k % 2) : 100 * (k % 2) + 96], rng.integers(1 << 62, size=4).astype(np.uint64)]) for k in range(60)]
+    labels = [k if k < 40 else 40 + k % 2 for k in range(60)]
+    for own, y in (([0] * 60, 0), ([k // 2 % 2 for k in range(60)], 1)):
+        table = slabs_of(sets, labels, own, 0, y)
+        every, few = ends(shingle_join.across(table, 4, 5)), ends(shingle_join.forest(table, 4, 5))
+        assert len(every) == len({tuple(sorted(p)) for p in every}) > 300 and len(few) == 40  # 42 components become two
+        assert {tuple(sorted(p)) for p in few} <= {tuple(sorted(p)) for p in every} and all((a - b) % 2 == 0 for a, b in every)
+    assert ends(shingle_join.forest(slabs_of(sets[:2], [0, 1], [0, 0], 0, 0), 4, 5)) == []
+
+
+def test_long_texts_that_share_little_are_no_candidates_of_a_slab():
+    rng = np.random.default_rng(11)
+    # 512 bits tell nothing of sets of 3,000
+    sets = [np.unique(rng.integers(1 << 62, size=3000).astype(np.uint64)) for _ in range(12)]
+    assert ends(shingle_join.across(slabs_of(sets, list(range(12)), [0] * 12, 0, 0), 4, 5)) == []
+
+
+@pytest.mark.parametrize("hubs", [0, 1])
+def test_chains_across_slabs_equal_brute_force(monkeypatch, spark, hubs):
+    for name, value in {"HUB_ROUNDS": hubs, "FEW": 3, "SLAB": 7}.items():
+        monkeypatch.setattr(shingle_join, name, value)
+    rng = np.random.default_rng(10)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(f"x{rng.integers(9999)}" if rng.random() < 0.02 * (i % 3) else w for w in base)) for i in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.join_documents(texts(spark, rows), 3, (4, 5)).collect()}
+    assert got == brute_groups(rows, 3, 4, 5)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))

@@ -6,10 +6,10 @@ here puts shingles that many documents hold last, in classes of their frequency,
 
 The nodes that hold one prefix shingle are a block; blocks of the same nodes are one.  Nodes of the first order's blocks are
 kept with their sets, and blocked again under the other orders.  A candidate pair shares a block under every order, and its
-sizes and parity masks leave room for the similarity; then the sets are verified exactly.  First, in a few rounds, every node
-asks the hubs of its blocks, at most one of them, which is linear; then, where a block still spans several components, tasks
-of bounded slabs compare across its components and give only the pairs that pass every filter.  Pairs within a component need
-no check, so a group of copies is never expanded into all its pairs.
+sizes and parity masks leave room for the similarity; then the sets are verified exactly.  First every node asks the hubs of its
+blocks, at most one of them, which is linear; where a block still spans several components, tasks of bounded slabs compare across
+its components and give the closest pairs that join them, fewer than its nodes; last, across what are components then, all pairs
+that pass every filter.  Pairs within a component need no check, so a group of copies is never expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import connected_components, discard, schema_with, small, written
 
 #: Orders, largest size of the table of frequent shingles, documents that make a shingle frequent, rounds of hubs, nodes of a
 #: small block and of a slab, and posts of a frequent shingle that are dealt together.
-ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FEW, SLAB, CELL = 3, 400_000, 16, 2, 32, 2048, 1 << 16
+ORDERS, FREQUENT_ROWS, FREQUENT, HUB_ROUNDS, FEW, SLAB, CELL = 3, 400_000, 16, 1, 32, 2048, 1 << 16
 #: Bytes of text that are hashed at once, shingles among which repeats are looked for, and counts that a task holds.
 CHUNK, COUNTED, COUNTS = 1 << 18, 1 << 19, 1 << 18
 #: Names of the parts of a set's parity mask: 512 bits, each flipped by the shingles that fall on it.
@@ -303,35 +303,79 @@ def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFram
     return out
 
 
-def across(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Of one block's slabs x and y the pairs of different components whose sizes and masks leave room for the similarity.
+def _partners(table: pa.Table, num: int, den: int):
+    """Of one block's slabs x and y: nodes i, their possible partners j, and the shares of their shingles that differ, as far as wide masks tell.
 
-    Of the commonest component only the pairs with others are tried.
+    Partners are nodes of other components whose sizes and masks leave room for the similarity; each pair comes once.  Of the
+    commonest component only the pairs with others are tried.
     """
     x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
-    table = table.combine_chunks()
     own, n, label = (table.column(c).to_numpy() for c in ("own", "n", "label"))
-    a, b = [], []
     _, label = np.unique(label, return_inverse=True)
     common = np.bincount(label).argmax()
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
     if x == y:
         left = left[label[left] != common]
-    if len(left) and len(right):
-        mask = np.stack([table.column(k).to_numpy() for k in PARITY], 1).view(np.uint64)
-        for i in left.tolist():
-            j = right[label[right] != label[i]]
-            if x == y:
-                j = j[(j > i) | (label[j] == common)]
-            j = j[np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num]
-            bits = np.bitwise_count(mask[j] ^ mask[i]).sum(1, dtype=np.int64)
-            j = j[bits * (den + num) <= (n[i] + n[j]) * (den - num)]
-            a += [i] * len(j)
-            b += j.tolist()
+    if not len(left) or not len(right):
+        return
+    mask = np.stack([table.column(k).to_numpy() for k in PARITY], 1).view(np.uint64)
+    wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(n), -1)
+    for i in left.tolist():
+        j = right[label[right] != label[i]]
+        if x == y:
+            j = j[(j > i) | (label[j] == common)]
+        j = j[np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num]
+        for m in (mask, wide):
+            bits = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
+            room = bits * (den + num) <= (n[i] + n[j]) * (den - num)
+            j, bits = j[room], bits[room]
+        if len(j):
+            yield i, j, bits / (n[i] + n[j])
+
+
+def _pairs(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.Table:
     node = table.column("node").combine_chunks()
     return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
 
+def across(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one block's slabs x and y all pairs of possible partners."""
+    table = table.combine_chunks()
+    none = np.empty(0, np.int64)
+    found = [(np.full(len(j), i), j) for i, j, _ in _partners(table, num, den)]
+    return _pairs(table, *(np.concatenate([none, *c]) for c in (zip(*found, strict=True) if found else ((), ()))))
+
+
+def forest(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one block's slabs x and y pairs of closest possible partners, each of which joins components that those before it don't:
+    fewer than components, whatever the number of partners."""
+    table = table.combine_chunks()
+    least, via = np.full(table.num_rows, np.inf), np.zeros(table.num_rows, np.int64)
+    for i, j, share in _partners(table, num, den):
+        for here, there in ((j, i), (i, j[share.argmin()])):
+            near = share if here is j else share.min()
+            better = near < least[here]
+            via[here] = np.where(better, there, via[here])
+            least[here] = np.where(better, near, least[here])
+    label = table.column("label").to_numpy()
+    top: dict[int, int] = {}
+
+    def find(k):
+        while k in top:
+            k = top[k]
+        return k
+
+    a, b = [], []
+    at = np.flatnonzero(np.isfinite(least))
+    for i in at[np.argsort(least[at], kind="stable")].tolist():
+        x, y = find(int(label[i])), find(int(label[via[i]]))
+        if x != y:
+            top[x] = y
+            a.append(i)
+            b.append(int(via[i]))
+    return _pairs(table, np.array(a, np.int64), np.array(b, np.int64))
+
+
 def partnered(table: pa.Table, num: int, den: int) -> pa.Table:
     """Of one block's slabs x and y the nodes that have a partner there whose size and mask leave room for the similarity."""
     x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
@@ -358,6 +402,13 @@ def _slabs(rows: DataFrame, size: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "slabs")
 
 
+def _compared(rows: DataFrame, span: DataFrame, held: DataFrame, chosen) -> DataFrame:
+    """Pairs (a < b) that ``chosen`` gives of the slabs of large blocks in ``span``; may repeat."""
+    large = rows.join(small(span.where(f"size > {FEW}").select("block")), "block", "left_semi").select("block", "node", "n", F.xxhash64("c").alias("label"), *PARITY)
+    met = _slabs(large.join(held.select("node", "wide").hint("merge"), "node"), span).groupBy("block", "x", "y").applyInArrow(chosen, f"a {NODE}, b {NODE}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _meet(rows: DataFrame, num: int, den: int, test: str = "true") -> DataFrame:
     """Pairs (a, b) of the nodes of each small block whose sizes and masks leave room for the similarity."""
     apart = [c for c in ("c",) if c in rows.columns]
@@ -407,17 +458,20 @@ def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, order
 
     links = docs.sparkSession.createDataFrame([], f"a {NODE}, b {NODE}")
     tried = links
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(HUB_ROUNDS + 2):
         # blocks that still span several components
         payload = F.struct(F.col("node").alias("hub"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(k).alias("h" + k) for k in PARITY))
         span = rows.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min_by(payload, F.xxhash64("node", F.lit(turn))).alias("h")).where("lo < hi")
         span = written(span.select("block", "size", "h.*"), "open")
-        if turn == HUB_ROUNDS:
+        if turn > HUB_ROUNDS:
             break
-        near = rows.join(small(span), "block").where(f"c <> d and {_close('', 'h', 'n', 'm', num, den)}")
-        apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col("h" + k))) for k in PARITY), F.lit(0))
-        stars = near.groupBy("node").agg(F.min_by("hub", F.struct(apart, F.col("hub"))).alias("hub"))
-        stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        if turn < HUB_ROUNDS:
+            near = rows.join(small(span), "block").where(f"c <> d and {_close('', 'h', 'n', 'm', num, den)}")
+            apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col("h" + k))) for k in PARITY), F.lit(0))
+            stars = near.groupBy("node").agg(F.min_by("hub", F.struct(apart, F.col("hub"))).alias("hub"))
+            stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        else:
+            stars = _compared(rows, span, held, lambda t: forest(t, num, den)).distinct()
         stars = written(stars.join(tried.hint("merge"), ["a", "b"], "left_anti"), "stars")
         tried, links = tried.unionAll(stars), links.unionAll(_verified(shared(stars), held, num, den))
         label = connected_components(links)
@@ -426,9 +480,7 @@ def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, order
         discard(before, span, label)
     # blocks of few nodes are joined with themselves, larger ones cut into slabs of bounded size, every two of which meet once
     pairs = _meet(rows.join(small(span.where(f"size <= {FEW}").select("block")), "block"), num, den, "c <> d")
-    left = _slabs(rows.select("block", "node", "n", F.xxhash64("c").alias("label"), *PARITY), span)
-    met = left.groupBy("block", "x", "y").applyInArrow(lambda t: across(t, num, den), f"a {NODE}, b {NODE}")
-    pairs = pairs.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = pairs.unionAll(_compared(rows, span, held, lambda t: across(t, num, den)))
     pairs = written(pairs.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     found = connected_components(links.unionAll(_verified(shared(pairs), held, num, den)))
     out = found.join(made.select("node", "s1", "s2").hint("merge"), "node").select("s1", "s2", F.col("component.d").alias("component"))
