@@ -2,12 +2,15 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinleg.llm import bpe, embed_dedup, lz_fingerprint, packing, quality, sanitise, secret_scan, shingle_join, url_filter, warc
+from twinleg.llm.common import ARROW_BYTES
 from twinleg.llm.queries import tokenizer
 from twinleg.llm.spans import span_text
 
@@ -58,6 +61,34 @@ def test_quality_on_held_out_rows(spark):
     assert not quality.train(texts(spark, docs), labels.limit(0)).any()
 
 
+def test_quality_holds_little_of_each_training_text():
+    rng = np.random.default_rng(3)
+    rows = [" ".join(map(str, rng.integers(0, 1 << 60, 300))) for _ in range(600)]
+    peaks = []
+    for n in (200, 600):
+        tracemalloc.start()
+        quality.fit_numpy(rows[:n], np.arange(n) % 2)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    # a bucket and its count take 6 bytes, and some room to grow
+    assert peaks[1] - peaks[0] < 10 * sum(len(np.unique(quality.features([t])[0])) for t in rows[200:])
+
+
+def test_texts_reach_workers_in_bounded_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "concat(id, repeat(' some words', 500)) as text")
+    for stage in (lambda: quality.score(docs, np.zeros(quality.BUCKETS + 1)), lambda: shingle_join.join_documents(docs.limit(20)), lambda: packing.pack(docs.limit(20), tokenizer("word_bpe_49k.json"))):
+        spark.conf.unset(key)
+        stage()
+        found = [r["bytes"] for r in docs.mapInArrow(sizes, "bytes long").collect()]
+        assert len(found) > 1 and max(found) < 2 * ARROW_BYTES
+    spark.conf.unset(key)
+
+
 def test_warc_round_trip_and_salvage(spark):
     pages = [(3, "u", "x" * 100), (1, None, "x" * 100), (2, "v", "x" * 99), (4, "w", "x" * 99), (5, "a\r\nb", None), (None, "n", "x" * 100)]
     out = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}

@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 
 #: A side is broadcast only when its rows, counted and measured, hold at most this many bytes.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +57,15 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches to Python workers end at ARROW_BYTES, too, beside Spark's 10,000 rows.
+
+    Ten thousand texts or sets are often a task's whole input, which is held by the JVM (outside its heap, twice while it grows)
+    and by the worker.  The setting stays in the session, as tables that are returned are computed later.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def settle(spark: SparkSession) -> None:
     """Let the driver collect plans that nothing refers to, so that their shuffle files go before the next ones are made.
 

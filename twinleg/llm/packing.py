@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import written
+from .common import bounded_batches, written
 
 #: BM25 constants, rarest terms that deal a document, neighbours fetched at a time, most terms of whole rows, and a shard's bounds.
 K1, B, KEYS, FETCH, WHOLE = 1.2, 0.75, 3, 48, 512
@@ -51,7 +51,7 @@ def _terms(rows: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, n
     key.sort()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     row, term = np.divmod(key[first], kind(size))
-    return row.astype(np.int64), term.astype(np.int64), np.diff(np.r_[first, len(key)])
+    return row.astype(np.int32), term.astype(np.int32), np.diff(np.r_[first, len(key)]).astype(np.int32)
 
 
 def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -117,12 +117,12 @@ class Shard:
         doc, term, tf = _terms(rows, size)
         length = np.array([len(r) for r in rows])
         norm = K1 * (1 - B + B * length / max(mean, 1e-9))
-        self.begin = np.searchsorted(doc, np.arange(self.n + 1))
+        self.begin = np.searchsorted(doc, np.arange(self.n + 1, dtype=doc.dtype))
         self.terms = term
         order = np.argsort(term, kind="stable")
         self.doc, by_term = doc[order], term[order]
         self.weight = idf[by_term] * tf[order] * (K1 + 1) / (tf[order] + norm[self.doc])
-        self.at = np.searchsorted(by_term, np.arange(size + 1))
+        self.at = np.searchsorted(by_term, np.arange(size + 1, dtype=by_term.dtype))
         self.free, self.left, self.indexed = np.ones(self.n, bool), self.n, np.arange(self.n)
         held = np.diff(self.at)
         common = np.flatnonzero(held >= max(2, self.n / 8))
@@ -208,6 +208,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, eos: int = 2) -> DataFr
     are packed row by row, other columns are left out, and no rows give no rows.  ``window`` should be a power of two; a
     shard's last tokens form sequences whose lengths are falling powers of two.
     """
+    bounded_batches(docs.sparkSession)
     tokens = written(token_table(docs, path, eos), "tokens")
     df, n, mean = term_statistics(tokens)
 

@@ -7,19 +7,23 @@ linear in the mean vector, so the mean of these numbers is the same log-odds.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mixed
-from .common import schema_with
+from .common import bounded_batches, schema_with
 
 #: Buckets of the hash, size of a vector, character n-gram lengths, and the bound on labelled rows used for training.
 BUCKETS, DIM, GRAMS, SAMPLE_ROWS = 1 << 15, 8, (2, 4), 6000
 EPOCHS, BATCH, RATE = 6, 64, 0.5
-CHUNK = 1 << 20
+#: Bytes of text whose features are made at once; these take about 120 bytes for each.
+CHUNK = 1 << 18
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, bool)
@@ -59,19 +63,23 @@ def fit_numpy(texts: list[str], labels: np.ndarray, seed: int = 7) -> np.ndarray
     """Train vectors and a softmax over two classes; return the log-odds of class 1 per bucket, then the bias."""
     rng = np.random.default_rng(seed)
     table, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
-    # per document: its different buckets and their share of all features
-    bags = []
+    # of all documents in a row: different buckets and their counts, packed, as they are held through all epochs
+    packed, counts, ends = array("H"), array("I"), [0]
     for t in texts:
         at, count = np.unique(features([t])[0], return_counts=True)
-        bags.append((at, count / count.sum()))
+        packed.frombytes(at.astype(np.uint16).tobytes())
+        counts.frombytes(count.astype(np.uint32).tobytes())
+        ends.append(len(packed))
+    packed, counts = np.frombuffer(packed, np.uint16), np.frombuffer(counts, np.uint32)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
-            at = np.concatenate([bags[j][0] for j in part])
-            share = np.concatenate([bags[j][1] for j in part])
-            row = np.repeat(np.arange(len(part)), [len(bags[j][0]) for j in part])
+            bags = [slice(ends[j], ends[j + 1]) for j in part]
+            at = np.concatenate([packed[s] for s in bags]).astype(np.int64)
+            share = np.concatenate([counts[s] / counts[s].sum() for s in bags])
+            row = np.repeat(np.arange(len(part)), [s.stop - s.start for s in bags])
             begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             mean = np.add.reduceat(table[at] * share[:, None], begin)
             z = mean @ out + bias
@@ -124,20 +132,23 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, text: st
 
     Null and empty texts get the score of a text without words.  Columns of these names are replaced; no rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     schema = schema_with(docs, score="double", predicted="int")
     weights = np.asarray(weights, np.float32)
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            texts = b.column(b.schema.get_field_index(text))
+            size = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             odds, i = [], 0
-            while i < len(texts):
+            while i < len(size):
                 j, total = i, 0
-                while j < len(texts) and (j == i or total + len(texts[j]) < CHUNK):
-                    total += len(texts[j])
+                while j < len(size) and (j == i or total + size[j] < CHUNK):
+                    total += size[j]
                     j += 1
-                at, count = features(texts[i:j])
+                # only a chunk's texts are Python strings at a time
+                at, count = features([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 odds.append(np.add.reduceat(weights[at].astype(np.float64), np.cumsum(count) - count) / count)
                 i = j
             p = 1 / (1 + np.exp(-(np.concatenate(odds) if odds else np.empty(0)) - float(weights[-1])))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mixed, powers
-from .common import connected_components, discard, schema_with, small, written
+from .common import bounded_batches, connected_components, discard, schema_with, small, written
 
 #: Orders, largest size of the table of frequent shingles, documents that make a shingle frequent, rounds of hubs, nodes of a
 #: small block and of a slab, and posts of a frequent shingle that are dealt together.
@@ -492,6 +492,7 @@ def _linked(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, order
 def _grouped(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, component_id) for every row of ``docs`` (doc_id, text)."""
     num, den = similarity
+    bounded_batches(docs.sparkSession)
     described = written(_describe(docs, n), "sets")
     sets = described.where("s1 is not null").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2", *PARITY)
     own = sets.drop(*PARITY)
